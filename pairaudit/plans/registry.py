@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairaudit.plans import core_problems
+from pairaudit.plans import core_problems, membership_queries, scoring_queries
 
-MODULES: list[ModuleType] = [core_problems]
+MODULES: list[ModuleType] = [core_problems, scoring_queries, membership_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,3 +18,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
+
+
+flagship = scoring_queries.equal_block
