@@ -19,8 +19,15 @@ def as_float32(c: Column) -> Column:
 
 
 def ulp(c: Column) -> Column:
-    """Distance from ``abs(c)`` to the next double."""
-    return F.reflect(F.lit("java.lang.Math"), F.lit("ulp"), F.abs(c)).cast("double")
+    """Distance from ``abs(c)`` to the next double, in generated code.
+
+    The exponent comes from ``log2``, which may be one off next to a power of
+    two, and is put right by comparison.
+    """
+    x = F.abs(c)
+    e = F.floor(F.log2(F.greatest(x, F.lit(2.0**-1022)))).cast("double")
+    e = F.when(F.pow(F.lit(2.0), e) > x, e - 1).when(F.pow(F.lit(2.0), e + 1) <= x, e + 1).otherwise(e)
+    return F.pow(F.lit(2.0), F.greatest(e, F.lit(-1022.0)) - 52)
 
 
 def within_ulps(actual: Column, expected: Column, n: int = 8, anchor: str = "expected") -> Column:

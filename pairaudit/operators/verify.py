@@ -41,22 +41,27 @@ def lookup(fact: DataFrame, dim: DataFrame, on: Sequence[str], columns: Sequence
 
 def misaligned(a: DataFrame, b: DataFrame, keys: Sequence[str], identity: Sequence[str]) -> DataFrame:
     """Keys that stand on one side only, twice, or with another identity:
-    ``(*keys, fault)``."""
-
-    def side(df: DataFrame, s: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count("*").alias(f"__n{s}"), *[F.min(c).alias(f"__{c}{s}") for c in identity])
-
-    joined = side(a, "a").join(side(b, "b"), list(keys), "full")
+    ``(*keys, fault)``; null parts of a key equal each other."""
+    marked = a.select(*keys, *identity, F.lit(True).alias("__left")).unionByName(
+        b.select(*keys, *identity, F.lit(False).alias("__left"))
+    )
+    left = F.col("__left")
+    grouped = marked.groupBy(*keys).agg(
+        F.count_if(left).alias("__na"),
+        F.count_if(~left).alias("__nb"),
+        *[F.min(F.when(left, F.col(c))).alias(f"__{c}a") for c in identity],
+        *[F.min(F.when(~left, F.col(c))).alias(f"__{c}b") for c in identity],
+    )
     differs = F.lit(False)
     for c in identity:
         differs = differs | ~F.col(f"__{c}a").eqNullSafe(F.col(f"__{c}b"))
     fault = (
-        F.when(F.col("__na").isNull(), "missing_left")
-        .when(F.col("__nb").isNull(), "missing_right")
+        F.when(F.col("__na") == 0, "missing_left")
+        .when(F.col("__nb") == 0, "missing_right")
         .when((F.col("__na") > 1) | (F.col("__nb") > 1), "repeated")
         .when(differs, "identity")
     )
-    return joined.withColumn("fault", fault).filter("fault IS NOT NULL").select(*keys, "fault")
+    return grouped.withColumn("fault", fault).filter("fault IS NOT NULL").select(*keys, "fault")
 
 
 def _cells_differ(a: Column, b: Column, dtype: T.DataType, ulps: int) -> Column:
@@ -153,11 +158,13 @@ def repeat_report(a: DataFrame, b: DataFrame, keys: Sequence[str], by: Sequence[
 
 
 def roster_faults(units: DataFrame, roster: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Units missing from or foreign to the roster: ``(*keys, fault)``."""
-    x = units.select(*keys).distinct().withColumn("__u", F.lit(True))
-    y = roster.select(*keys).distinct().withColumn("__r", F.lit(True))
-    fault = F.when(F.col("__u").isNull(), "missing").when(F.col("__r").isNull(), "foreign")
-    return x.join(y, list(keys), "full").withColumn("fault", fault).filter("fault IS NOT NULL").select(*keys, "fault")
+    """Units missing from or foreign to the roster: ``(*keys, fault)``; null
+    parts of a key equal each other."""
+    x = units.select(*keys, F.lit(True).alias("__u"), F.lit(False).alias("__r"))
+    y = roster.select(*keys, F.lit(False).alias("__u"), F.lit(True).alias("__r"))
+    seen = x.unionByName(y).groupBy(*keys).agg(F.max("__u").alias("__u"), F.max("__r").alias("__r"))
+    fault = F.when(~F.col("__u"), "missing").when(~F.col("__r"), "foreign")
+    return seen.withColumn("fault", fault).filter("fault IS NOT NULL").select(*keys, "fault")
 
 
 def disagreeing(df: DataFrame, key: Sequence[str], value: Column) -> DataFrame:
