@@ -15,27 +15,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairaudit.functions.buckets import with_bucket
 
-def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_index", ranges: int = 256) -> DataFrame:
+
+def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_index", depth: int = 8) -> DataFrame:
     """``df`` with a bigint ``name`` from 0, dense and complete.
 
-    ``order[0]`` must be numeric or a timestamp; nulls come first.
+    ``order[0]`` must be numeric or a timestamp; nulls come first.  There are
+    ``2 ** depth`` ranges.
     """
     lead = F.col(order[0]).cast("double")
-    cuts = df.agg(F.percentile_approx(lead, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(5000))).first()[0]
-    edges = sorted(set(cuts or []))
-    bucket = F.lit(0)
-    if edges:
-        bucket = F.when(lead.isNull(), 0).otherwise(
-            F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda a, e: a + F.when(lead > e, 1).otherwise(0))
-        )
-    placed = df.withColumn("__range", bucket.cast("int"))
+    cuts = [F.lit(i / (1 << depth)) for i in range(1, 1 << depth)]
+    found = df.agg(F.percentile_approx(lead, F.array(*cuts), F.lit(5000))).first()[0]
+    edges = F.array(*map(F.lit, sorted(set(found or [])))).cast("array<double>")
+    placed = with_bucket(df, lead, edges, "__range", depth)
     before = placed.groupBy("__range").agg(F.count("*").alias("__in"))  # as many rows as ranges
     before = before.select("__range", (F.sum("__in").over(W.orderBy("__range")) - F.col("__in")).alias("__base"))
     within = F.row_number().over(W.partitionBy("__range").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
     return (
         placed.withColumn("__in", within - 1)
-        .join(F.broadcast(before), "__range")  # at most ``ranges`` + 1 rows
+        .join(F.broadcast(before), "__range")  # one row per range
         .withColumn(name, (F.col("__base") + F.col("__in")).cast("bigint"))
         .drop("__range", "__in", "__base")
     )

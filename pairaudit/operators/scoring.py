@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairaudit.functions.buckets import with_bucket
 from pairaudit.functions.numeric import as_float32, finite
 
 DEFINED = "DEFINED"
@@ -175,7 +176,7 @@ def block_and_pooled_scores(
     return scored
 
 
-def average_ranks(df: DataFrame, unit: Sequence[str], x: str, n: str = "n", buckets: int = 64) -> DataFrame:
+def average_ranks(df: DataFrame, unit: Sequence[str], x: str, n: str = "n", depth: int = 6) -> DataFrame:
     """``(*unit, x, rank)`` for distinct values with multiplicity ``n``.
 
     A unit's values are spread over buckets by its quantiles; ranks are
@@ -183,11 +184,10 @@ def average_ranks(df: DataFrame, unit: Sequence[str], x: str, n: str = "n", buck
     ranked in one task.  Ties share their average rank.
     """
     values = df.groupBy(*unit, x).agg(F.sum(n).alias("__n"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    edges = values.groupBy(*unit).agg(F.percentile_approx(x, F.array(*map(F.lit, cuts)), F.lit(2000)).alias("__edges"))
-    placed = values.join(edges, list(unit)).withColumn(
-        "__bucket", F.aggregate("__edges", F.lit(0), lambda a, e: a + F.when(F.col(x) > e, 1).otherwise(0))
-    )
+    cuts = F.array(*[F.lit(i / (1 << depth)) for i in range(1, 1 << depth)])
+    edges = values.groupBy(*unit).agg(F.array_sort(F.percentile_approx(x, cuts, F.lit(2000))).alias("__edges"))
+    joined = values.join(edges, list(unit))
+    placed = with_bucket(joined, F.col(x), F.col("__edges"), "__bucket", depth).drop("__edges")
     before = placed.groupBy(*unit, "__bucket").agg(F.sum("__n").alias("__in"))
     before = before.withColumn("__base", F.sum("__in").over(W.partitionBy(*unit).orderBy("__bucket")) - F.col("__in"))
     upto = F.sum("__n").over(W.partitionBy(*unit, "__bucket").orderBy(x))

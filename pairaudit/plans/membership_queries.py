@@ -19,13 +19,15 @@ from pairaudit.plans.common import (
     r6,
     records,
 )
+from pairaudit.session import Materialized
 from pairaudit.sources.catalog import table
 
 
 def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row numbers over a total order, dense ids by first appearance."""
     order = ["guest", "host", "cond2", "source", "cond1", "y"]
-    numbered = rows.number_rows(pairs(spark, sf_dir), order)
+    # written once: the numbers are read three times
+    numbered = Materialized(spark, "rows").write(rows.number_rows(pairs(spark, sf_dir), order))
     hosts = rows.dense_ids(numbered, "host", name="host_code").select("host", "host_code")
     guests = rows.dense_ids(numbered, "guest", name="guest_code").select("guest", "guest_code")
     return numbered.join(hosts, "host").join(guests, "guest").select("row_index", "host", "guest", "host_code", "guest_code", r6("y").alias("y"))
