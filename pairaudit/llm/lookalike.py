@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairaudit.session import Materialized
+
 # Letters of other scripts that look like a Latin letter.
 CYRILLIC_CAPITALS = dict(zip("АВЕЅІЈКМНОРСТУХҮҺԌԚԜ", "ABESIJKMHOPCTYXYhGQW", strict=True))
 CYRILLIC_SMALL = dict(zip("аеѕіјорсухһԁԛԝѵӏ", "aesijopcyxhdqwvl", strict=True))
@@ -130,7 +132,7 @@ def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, form(F.col(text)).alias(text))
 
 
-def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+def _keyed(df: DataFrame, key: str, text: str, store: Materialized | None) -> DataFrame:
     """``(id, look, raw, h)``: digests of the look and of the characters."""
 
     @F.pandas_udf("binary")
@@ -138,7 +140,9 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
         return canonical_of(series).map(lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest())
 
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("id IS NOT NULL AND t <> ''")
-    return rows.select("id", look("t").alias("look"), F.unhex(F.sha2("t", 256)).alias("raw"), F.xxhash64("t").alias("h"))
+    digests = rows.select("id", look("t").alias("look"), F.unhex(F.sha2("t", 256)).alias("raw"), F.xxhash64("t").alias("h"))
+    # written once, so that the texts are read and normalised once
+    return (store or Materialized(df.sparkSession, "looks")).write(digests)
 
 
 def _mixed(keyed: DataFrame) -> DataFrame:
@@ -146,13 +150,13 @@ def _mixed(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("look").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("look")
 
 
-def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+def lookalike_pairs(df: DataFrame, key: str, text: str, store: Materialized | None = None) -> DataFrame:
     """``(<key>_1, <key>_2)``: texts that look the same and are not equal.
 
     Only digests are shuffled.  Looks of a single spelling, be it one text or
     a third of all, leave before the join.
     """
-    keyed = _keyed(df, key, text)
+    keyed = _keyed(df, key, text, store)
     rows = keyed.join(_mixed(keyed), "look", "left_semi").select("id", "look", "raw").distinct()
     other = rows.select(F.col("id").alias("id2"), "look", F.col("raw").alias("raw2"))
     return (
@@ -163,10 +167,10 @@ def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+def lookalike_classes(df: DataFrame, key: str, text: str, store: Materialized | None = None) -> DataFrame:
     """``(key, class_id, n_texts, n_spellings)`` of every text that has a
     look-alike; the class is named by its smallest id."""
-    keyed = _keyed(df, key, text)
+    keyed = _keyed(df, key, text, store)
     rows = keyed.join(_mixed(keyed), "look", "left_semi").select("id", "look", "raw").distinct()
     sizes = rows.groupBy("look", "raw").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     classes = sizes.groupBy("look").agg(
