@@ -69,17 +69,32 @@ def strict_rows(spark: SparkSession, path: str, columns: Sequence[str], sep: str
 
 
 def byte_faults(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, fault)``: byte order marks, CR, NUL, invalid UTF-8, empty."""
+    """``(path, fault)``: byte order marks, CR, NUL, invalid UTF-8, empty.
+
+    Spark passes over files without a byte, so those come from the listing.
+    """
     files = spark.read.format("binaryFile").load(path)
     content = F.col("content")
     fault = (
-        F.when(F.length(content) == 0, "empty")
-        .when(F.substring(content, 1, 3) == F.lit(bytearray(b"\xef\xbb\xbf")), "byte_order_mark")
+        F.when(F.substring(content, 1, 3) == F.lit(bytearray(b"\xef\xbb\xbf")), "byte_order_mark")
         .when(~F.is_valid_utf8(content.cast("string")), "not_utf8")
         .when(F.instr(content.cast("string"), "\r") > 0, "carriage_return")
         .when(F.instr(content.cast("string"), "\u0000") > 0, "nul")
     )
-    return files.select("path", fault.alias("fault")).filter("fault IS NOT NULL")
+    found = files.select("path", fault.alias("fault")).filter("fault IS NOT NULL")
+    return found.unionByName(spark.createDataFrame([(p, "empty") for p in _empty_files(spark, path)], "path string, fault string"))
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.globStatus(target) or []:
+        for s in fs.listStatus(status.getPath()) if status.isDirectory() else [status]:
+            if s.isFile() and s.getLen() == 0 and not s.getPath().getName().startswith(("_", ".")):
+                out.append(s.getPath().toString())
+    return out
 
 
 @dataclass(frozen=True)
