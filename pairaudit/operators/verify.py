@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairaudit.functions.numeric import finite, within_ulps
+from pairaudit.functions.numeric import finite, is_close, within_ulps
 
 
 class CheckFailed(AssertionError):
@@ -196,3 +196,97 @@ class Checks:
 
     def frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.results, "check string, status string, detail string")
+
+
+def metric_faults(stored: DataFrame, recomputed: DataFrame, keys: Sequence[str], value: str, ulps: int = 8, rel_tol: float | None = None) -> DataFrame:
+    """Stored metrics against recomputed ones: ``(*keys, fault)``.
+
+    A unit must stand once on each side; undefined must meet undefined; values
+    agree within ``ulps`` of the stored one, or within ``rel_tol``.
+    """
+    a = stored.groupBy(*keys).agg(F.count("*").alias("__na"), F.first(value).alias("__a"))
+    b = recomputed.groupBy(*keys).agg(F.count("*").alias("__nb"), F.first(value).alias("__b"))
+    x, y = F.col("__a"), F.col("__b")
+    near = within_ulps(y, x, ulps) if rel_tol is None else is_close(y, x, rel_tol) | (x.isNull() & y.isNull())
+    fault = (
+        F.when(F.col("__na").isNull(), "not_stored")
+        .when(F.col("__nb").isNull(), "not_recomputed")
+        .when((F.col("__na") > 1) | (F.col("__nb") > 1), "repeated")
+        .when(x.isNull() != y.isNull(), "definedness")
+        .when(~near, "value")
+    )
+    return a.join(b, list(keys), "full").withColumn("fault", fault).filter("fault IS NOT NULL").select(*keys, "fault")
+
+
+def mapping_faults(mapping: DataFrame, decisions: DataFrame, ledger: DataFrame, key: str, group: str) -> DataFrame:
+    """Three records of one grouping against each other: ``(key, fault)``.
+
+    ``decisions(group, reverted)`` says which groups were undone and
+    ``ledger(key, group)`` where each key was put; ``mapping(key, group)`` must
+    hold the ledger's group, or the key itself for undone groups.
+    """
+    d = decisions.select(F.col(group).alias("__g"), "reverted").distinct()
+    led = ledger.select(F.col(key).alias("__k"), F.col(group).alias("__g")).join(d, "__g", "left")
+    led = led.select(F.col("__k").alias(key), "__g", "reverted", F.lit(True).alias("__in"))
+    both = mapping.select(key, F.col(group).alias("__m"), F.lit(True).alias("__there")).join(led, key, "full")
+    want = F.when(F.col("reverted"), F.col(key).cast("string")).otherwise(F.col("__g"))
+    fault = (
+        F.when(F.col("__there").isNull(), "not_mapped")
+        .when(F.col("__in").isNull(), "not_in_ledger")
+        .when(F.col("reverted").isNull(), "undecided")
+        .when(~F.col("__m").eqNullSafe(want), "other_group")
+    )
+    return both.withColumn("fault", fault).filter("fault IS NOT NULL").select(key, "fault")
+
+
+def membership_faults(members: DataFrame, block: str = "block_id", row: str = "row_index") -> DataFrame:
+    """``(block, fault, n)``: rows that are train and test of one block, rows
+    listed twice in a role, blocks without train or test rows."""
+    per_row = members.groupBy(block, row).agg(
+        F.count_if(F.col("role") == "train").alias("r"), F.count_if(F.col("role") == "test").alias("t"), F.count("*").alias("n")
+    )
+    per_block = per_row.groupBy(block).agg(
+        F.count_if((F.col("r") > 0) & (F.col("t") > 0)).alias("train_and_test"),
+        F.count_if((F.col("r") > 1) | (F.col("t") > 1)).alias("repeated"),
+        F.when(F.max("r") == 0, 1).otherwise(0).cast("bigint").alias("no_train"),
+        F.when(F.max("t") == 0, 1).otherwise(0).cast("bigint").alias("no_test"),
+    )
+    kinds = ("train_and_test", "repeated", "no_train", "no_test")
+    cells = F.array(*[F.struct(F.lit(k).alias("fault"), F.col(k).alias("n")) for k in kinds])
+    return per_block.select(block, F.explode(cells).alias("x")).select(block, "x.*").filter("n > 0")
+
+
+def environment_faults(pins: Mapping[str, str]) -> list[tuple[str, str, str]]:
+    """``(package, wanted, found)`` of packages not at their pinned version."""
+    from importlib import metadata
+
+    out = []
+    for name, wanted in pins.items():
+        try:
+            found = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            found = "absent"
+        if found != wanted:
+            out.append((name, wanted, found))
+    return out
+
+
+def by_branch(branches: Sequence[str], run) -> tuple[dict[str, DataFrame], dict[str, str], str]:
+    """Results per branch, errors per branch, and ``PASS``, ``PARTIAL`` or
+    ``FAIL``: a branch that fails does not stop the others."""
+    done: dict[str, DataFrame] = {}
+    failed: dict[str, str] = {}
+    for b in branches:
+        try:
+            done[b] = run(b)
+        except Exception as e:  # kept as that branch's verdict
+            failed[b] = str(e).splitlines()[0][:500]
+    return done, failed, "PASS" if not failed else "PARTIAL" if done else "FAIL"
+
+
+def fingerprint(df: DataFrame) -> tuple[int, int]:
+    """Row count and order-free digest of a table, for freezing a mask before
+    the outcomes it will be joined with are read."""
+    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(0)).alias("s")).first()
+    return row["n"], row["x"] ^ row["s"]
