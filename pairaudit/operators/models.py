@@ -41,10 +41,9 @@ def fit_predict(members: DataFrame, features: Sequence[str], estimator, name: st
 
 def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns less their mean over their population deviation (1 if flat)."""
-    stats = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
-    wide = df.crossJoin(F.broadcast(stats))  # one row
-    scaled = {c: (F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") > 0, F.col(f"__s_{c}")).otherwise(1.0) for c in columns}
-    return wide.withColumns(scaled).drop(*stats.columns)
+    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    scaled = {c: (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0) for c in columns}
+    return df.withColumns(scaled)
 
 
 def nearest(queries: DataFrame, rows: DataFrame, key: str, columns: Sequence[str], block: int = 2048, same_set: bool = True) -> DataFrame:

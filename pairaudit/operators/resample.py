@@ -65,15 +65,19 @@ def exact_sign_test(deltas: DataFrame, by: Sequence[str], value: str = "margin",
     return counted.withColumn("p_value", p_value("n", "n_positive"))
 
 
-def leave_two_out(deltas: DataFrame, key: str = "block_id", value: str = "margin") -> DataFrame:
-    """``(a, b, mean)`` of the other blocks for each pair; blocks are few by
-    design, one row each."""
-    total = deltas.agg(F.sum(value).alias("__s"), F.count("*").alias("__n"))
-    a = deltas.select(F.col(key).alias("a"), F.col(value).alias("__va"))
-    b = deltas.select(F.col(key).alias("b"), F.col(value).alias("__vb"))
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b")).crossJoin(F.broadcast(total))  # one row per block, one row
-    rest = F.col("__n") - 2
-    return pairs.select("a", "b", ((F.col("__s") - F.col("__va") - F.col("__vb")) / F.when(rest > 0, rest)).alias("mean"))
+def leave_two_out(deltas: DataFrame, key: str = "block_id", value: str = "margin", most: int = 1000) -> DataFrame:
+    """``(a, b, mean)`` of the other blocks for each pair of blocks, null if
+    a delta is; more than ``most`` blocks are refused."""
+    blocks = deltas.select(key, value).limit(most + 1).collect()
+    if len(blocks) > most:
+        raise ValueError(f"over {most} blocks: too many to pair")
+    known = deltas.select(F.col(key).alias("a"), F.col(value).alias("__va"))
+    others = F.array(*[F.struct(F.lit(r[0]).alias("b"), F.lit(r[1]).cast("double").alias("v")) for r in blocks])
+    pairs = known.withColumn("__o", F.explode(others)).filter(F.col("a") < F.col("__o.b"))
+    whole = all(r[1] is not None for r in blocks)
+    total, rest = F.lit(sum(r[1] for r in blocks) if whole else None).cast("double"), max(len(blocks) - 2, 0)
+    mean = (total - F.col("__va") - F.col("__o.v")) / F.lit(rest or None).cast("double")
+    return pairs.select("a", F.col("__o.b").alias("b"), mean.alias("mean"))
 
 
 def block_bootstrap(deltas: DataFrame, by: Sequence[str], value: str = "margin", draws: int = 3000, seed: int = 0) -> DataFrame:

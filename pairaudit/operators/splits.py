@@ -22,6 +22,21 @@ def with_blocks(rows: DataFrame, n_blocks: int) -> DataFrame:
     return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
 
+def block_list(df: DataFrame, block: str, most: int = 10_000) -> list:
+    """The blocks of a table, which are few by design; more are refused."""
+    rows = df.select(block).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} values of {block}: these are no blocks")
+    return sorted(r[0] for r in rows if r[0] is not None)
+
+
+def per_block(rows: DataFrame, name: str, blocks: list) -> DataFrame:
+    """Every row once per listed block, made in the task."""
+    if not blocks:
+        return rows.withColumn(name, F.lit(None)).limit(0)
+    return rows.withColumn(name, F.explode(F.array(*map(F.lit, blocks))))
+
+
 def hash_fold(key: Column, n_folds: int, seed: int = 0) -> Column:
     """A fold by multiplicative hashing, the same in any SQL engine."""
     return ((key * F.lit(7919) + F.lit(seed * 104729)) % F.lit(65537) % F.lit(n_folds)).cast("int")
@@ -45,7 +60,7 @@ def roles_from_held(rows: DataFrame, blocks: DataFrame, held_sets: DataFrame) ->
     """
     hosts = held_sets.filter("axis = 'host'").select("block", F.col("key").alias("host"), F.lit(True).alias("__h")).distinct()
     guests = held_sets.filter("axis = 'guest'").select("block", F.col("key").alias("guest"), F.lit(True).alias("__g")).distinct()
-    every = rows.crossJoin(F.broadcast(blocks.select("block").distinct()))  # one row per block, as many as folds
+    every = per_block(rows, "block", block_list(blocks, "block"))
     roles = every.join(hosts, ["block", "host"], "left").join(guests, ["block", "guest"], "left")
     role = double_cold_role(F.coalesce("__h", F.lit(False)), F.coalesce("__g", F.lit(False)))
     return roles.withColumn("role", role).drop("__h", "__g")
@@ -65,8 +80,7 @@ def admissible(roles: DataFrame, y: str = "y", min_test: int = 25, min_train: in
 
 def complement(test: DataFrame, universe: DataFrame, block: str = "block", row: str = "row_index") -> DataFrame:
     """Train rows of each block: the universe without the block's test rows."""
-    blocks = test.select(block).distinct()
-    everything = universe.select(row).distinct().crossJoin(F.broadcast(blocks))  # one row per block
+    everything = per_block(universe.select(row).distinct(), block, block_list(test, block))
     return everything.join(test.select(block, row).distinct(), [block, row], "left_anti")
 
 

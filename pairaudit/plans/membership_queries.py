@@ -82,11 +82,12 @@ def family_cold_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     # counts per family first: a left-out family is the difference to the total
     per = pairs(spark, sf_dir).groupBy("host").agg(F.count("*").alias("n"), F.sum("y").alias("s")).join(of_host, "host")
     fam = per.groupBy("family").agg(F.sum("n").alias("n_test"), F.count("*").alias("n_hosts"), F.sum("s").alias("s_test"))
-    total = fam.agg(F.sum("n_test").alias("n"), F.sum("s_test").alias("s"))
+    total = fam.agg(F.sum("n_test").alias("n"), F.sum("s_test").alias("s")).first()
     small = (F.col("n_hosts") < 5) | (F.col("n_test") < 80)
-    return fam.crossJoin(F.broadcast(total)).select(  # one row
-        "family", "n_test", (F.col("n") - F.col("n_test")).alias("n_train"), "n_hosts",
-        F.round((F.col("s") - F.col("s_test")) / (F.col("n") - F.col("n_test")), 4).alias("mean_train"),
+    n_train = F.lit(total["n"]) - F.col("n_test")
+    return fam.select(
+        "family", "n_test", n_train.alias("n_train"), "n_hosts",
+        F.round((F.lit(total["s"]) - F.col("s_test")) / F.when(n_train > 0, n_train), 4).alias("mean_train"),
         F.when(small, "NO_CONCLUSION_small").otherwise("OK").alias("flag"),
     )
 

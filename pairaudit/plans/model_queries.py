@@ -51,8 +51,8 @@ def cluster_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = models.cluster_entities(words, "label", ["w0", "w1"], n_clusters=3)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label").join(clusters, "label")
     per = rows.groupBy("cluster").agg(F.count("*").alias("n_test"), F.countDistinct("label").alias("n_entities"))
-    total = per.agg(F.sum("n_test").alias("n"))
-    return per.crossJoin(F.broadcast(total)).select("cluster", "n_test", (F.col("n") - F.col("n_test")).alias("n_train"), "n_entities")  # one row
+    total = rows.count()
+    return per.select("cluster", "n_test", (F.lit(total) - F.col("n_test")).alias("n_train"), "n_entities")
 
 
 COLUMNS = ["s_acctbal", "s_nationkey"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -58,6 +59,7 @@ class Materialized:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/pairaudit/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self._delete, self.root)  # results are lazy, so not before
 
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -69,10 +71,12 @@ class Materialized:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = df.__dict__.get("_pairaudit_path")
-        if path:
-            with contextlib.suppress(Exception):
-                jvm = self.spark.sparkContext._jvm
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-                target.getFileSystem(conf).delete(target, True)
+        if path := df.__dict__.get("_pairaudit_path"):
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        with contextlib.suppress(Exception):
+            jvm = self.spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+            target.getFileSystem(conf).delete(target, True)
