@@ -128,8 +128,19 @@ def _mixed(codes: np.ndarray, length: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def base_of(length: int) -> int:
+    """The power of two that windows of ``length`` words are tried by first."""
+    return 1 << (length.bit_length() - 1)
+
+
 @dataclass(frozen=True)
 class _Filter:
+    """Window lengths, and a byte table of the items' windows.
+
+    A window of ``length`` words begins with one of ``base_of(length)`` words,
+    so texts without a hit of that length need not be tried by the others.
+    """
+
     lengths: tuple[int, ...]
     table: np.ndarray
 
@@ -139,6 +150,27 @@ class _Filter:
         return hit[self.table[((x[hit] >> np.uint64(32)) & mask).astype(np.int64)] > 0]
 
 
+class _Laid:
+    """Some texts of a batch laid end to end, with their prefix sums."""
+
+    def __init__(self, coded: Sequence[np.ndarray], chosen: np.ndarray):
+        sizes = np.array([len(coded[i]) for i in chosen], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        self.owner = np.repeat(chosen, sizes)
+        self.start = np.repeat(ends - sizes, sizes)
+        self.end = np.repeat(ends, sizes)
+        self.inverse, self.sums = _prefix(np.concatenate([coded[i] for i in chosen]) if len(chosen) else np.zeros(0, dtype=np.uint64))
+
+    def codes(self, length: int) -> np.ndarray:
+        if length > len(self.inverse):
+            return np.zeros(0, dtype=np.uint64)
+        return _mixed(window_codes(length, self.inverse, self.sums), length)
+
+    def whole(self, length: int, at: np.ndarray) -> np.ndarray:
+        """Windows that do not run over the end of their text."""
+        return at[at + length <= self.end[at]]
+
+
 WINDOW = "id {kind}, length int, code long, words string"
 
 
@@ -150,24 +182,27 @@ def _windows_of(texts: Iterator[tuple[object, list[str]]], coder: _Coder, length
     """
 
     def flush(ids: list, parts: list[list[str]]) -> Iterator[tuple]:
-        words = [w for p in parts for w in p]
-        codes = coder(words)
-        inverse, sums = _prefix(codes)
-        sizes = np.array([len(p) for p in parts])
-        ends = np.cumsum(sizes)
-        owner = np.repeat(np.arange(len(parts)), sizes)
+        coded = [coder(p) for p in parts]
+        by_base: dict[int, list[int]] = {}
         for length in lengths(parts):
-            if length > len(codes):
-                continue
-            x = _mixed(window_codes(length, inverse, sums), length)
-            at = keep(x)
-            at = at[at + length <= ends[owner[at]]]
-            seen: set[tuple[int, int]] = set()
-            for i in at.tolist():
-                code = int(x[i])
-                if (owner[i], code) not in seen:
-                    seen.add((owner[i], code))
-                    yield ids[owner[i]], length, code, " ".join(words[i : i + length])
+            by_base.setdefault(base_of(length), []).append(length)
+        for base, members in by_base.items():
+            chosen = np.arange(len(parts))
+            laid = _Laid(coded, chosen)
+            if members != [base]:
+                hit = laid.whole(base, keep(laid.codes(base)))
+                chosen = np.unique(laid.owner[hit])
+                if len(chosen) < len(parts):
+                    laid = _Laid(coded, chosen)
+            for length in members:
+                x = laid.codes(length)
+                seen: set[tuple[int, int]] = set()
+                for i in laid.whole(length, keep(x)).tolist():
+                    who, code = int(laid.owner[i]), int(x[i])
+                    if (who, code) not in seen:
+                        seen.add((who, code))
+                        at = i - int(laid.start[i])
+                        yield ids[who], length, code, " ".join(parts[who][at : at + length])
 
     ids: list = []
     parts: list[list[str]] = []
@@ -237,12 +272,12 @@ def find_leaks(
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 words = words_of(text.as_py())
-                yield from _windows_of(
-                    iter([(key.as_py(), words)]),
-                    coder,
-                    lambda parts: [run_length(len(parts[0]), share)],
-                    lambda x: np.arange(len(x)),
-                )
+                if not words:
+                    continue
+                length = run_length(len(words), share)
+                for n in {length, base_of(length)}:
+                    one = _windows_of(iter([(key.as_py(), words)]), coder, lambda _, n=n: [n], lambda x: np.arange(len(x)))
+                    yield from one if n == length else ((k, size, code, None) for k, size, code, _ in one)
 
         for batch in batches:
             yield from _batches(rows(batch), batch.column(0).type)
@@ -251,7 +286,8 @@ def find_leaks(
     of_items = store.write(wanted.mapInArrow(item_windows, WINDOW.format(kind=item_type.simpleString())).distinct())
 
     # the filter: bytes of a bounded table, merged from bounded parts
-    counted = of_items.agg(F.count("*").alias("n"), F.collect_set("length").alias("lengths")).first()
+    whole = F.col("words").isNotNull()  # else only tried first
+    counted = of_items.agg(F.count("*").alias("n"), F.collect_set(F.when(whole, F.col("length"))).alias("lengths")).first()
     size = min(FILTER_MAX, max(FILTER_MIN, 1 << int(np.ceil(np.log2(64 * max(1, counted["n"]))))))
     table = np.zeros(size, dtype=np.uint8)
     slot = F.explode(
@@ -280,7 +316,7 @@ def find_leaks(
     of_documents = read.mapInArrow(document_windows, WINDOW.format(kind=doc_type.simpleString()))
 
     left = of_documents.select(F.col("id").alias("doc"), "length", "code", F.col("words").alias("doc_words"))
-    right = of_items.select(F.col("id").alias("item"), "length", "code", F.col("words").alias("item_words"))
+    right = of_items.filter("words IS NOT NULL").select(F.col("id").alias("item"), "length", "code", F.col("words").alias("item_words"))
     joined = left.join(right, ["length", "code"])
     if same:
         checked = joined.filter("doc_words = item_words")

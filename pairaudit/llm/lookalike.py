@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
@@ -98,22 +99,54 @@ def _form(segment: str) -> str:
 
 #: Stretches outside printable ASCII and line feeds.
 _DOUBTFUL = re.compile(r"(?:\r\n?|[^\x20-\x7e\n])+")
+#: Characters found stable so far.
+_KNOWN_STABLE = {chr(c) for c in range(0x20, 0x7F)} | {"\n"}
+
+
+def _doubtful(c: str) -> bool:
+    return not (" " <= c <= "~" or c == "\n")
+
+
+def _segments(text: str, unstable: set[str]) -> Iterator[tuple[int, int]]:
+    """Doubtful stretches that hold an unstable character."""
+    if len(unstable) > 4:
+        for found in _DOUBTFUL.finditer(text):
+            if not unstable.isdisjoint(found.group()):
+                yield found.span()
+        return
+    at: list[int] = []
+    for c in unstable:  # few of them: searched one by one
+        i = text.find(c)
+        while i >= 0:
+            at.append(i)
+            i = text.find(c, i + 1)
+    done, n = 0, len(text)
+    for i in sorted(at):
+        if i < done:
+            continue
+        begin, end = i, i + 1
+        while begin > done and _doubtful(text[begin - 1]):
+            begin -= 1
+        while end < n and (_doubtful(text[end]) or (text[end] == "\n" and text[end - 1] == "\r")):
+            end += 1
+        yield begin, end
+        done = end
 
 
 def canonical(text: str) -> str:
     """``text`` in the one form under which texts that look alike are equal."""
+    doubtful = set(text) - _KNOWN_STABLE
+    unstable = {c for c in doubtful if not _stable(c)}
+    _KNOWN_STABLE.update(doubtful - unstable)
+    if not unstable:
+        return text
     parts: list[str] = []
     done = 0
-    for found in _DOUBTFUL.finditer(text):
-        begin, end = found.span()
-        if all(map(_stable, found.group())):
-            continue
+    for begin, end in _segments(text, unstable):
         begin = max(done, begin - 1)  # the starter that a mark may join
         parts.append(text[done:begin])
         parts.append(_form(text[begin:end]))
         done = end
-    if not done:
-        return text
     parts.append(text[done:])
     return "".join(parts)
 
