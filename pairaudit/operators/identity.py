@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairaudit.operators.splits import block_list, per_block
+from pairaudit.operators.splits import per_block
 
 CLASSES = ("same_pair_seen", "both_seen_pair_unseen", "host_only_seen", "guest_only_seen", "neither_seen")
 
@@ -29,7 +29,7 @@ def annotate(members: DataFrame, layer_map: DataFrame) -> DataFrame:
     guests = layer_map.filter("axis = 'guest'").select(
         "layer", F.col("id").alias("guest"), F.col("parent").alias("parent_guest"), F.col("uncertain").alias("guest_uncertain")
     )
-    every = per_block(members, "layer", block_list(layer_map, "layer", 1000))
+    every = per_block(members, "layer", layer_map, "layer", 1000)
     return every.join(hosts, ["layer", "host"], "left").join(guests, ["layer", "guest"], "left")
 
 

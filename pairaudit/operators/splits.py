@@ -30,11 +30,11 @@ def block_list(df: DataFrame, block: str, most: int = 10_000) -> list:
     return sorted(r[0] for r in rows if r[0] is not None)
 
 
-def per_block(rows: DataFrame, name: str, blocks: list) -> DataFrame:
-    """Every row once per listed block, made in the task."""
-    if not blocks:
-        return rows.withColumn(name, F.lit(None)).limit(0)
-    return rows.withColumn(name, F.explode(F.array(*map(F.lit, blocks))))
+def per_block(rows: DataFrame, name: str, df: DataFrame, block: str, most: int = 10_000) -> DataFrame:
+    """Every row once per block of ``df``, made in the task."""
+    listed = F.array(*map(F.lit, block_list(df, block, most)))
+    kind = df.schema[block].dataType.simpleString()
+    return rows.withColumn(name, F.explode(listed.cast(f"array<{kind}>")))
 
 
 def hash_fold(key: Column, n_folds: int, seed: int = 0) -> Column:
@@ -60,7 +60,7 @@ def roles_from_held(rows: DataFrame, blocks: DataFrame, held_sets: DataFrame) ->
     """
     hosts = held_sets.filter("axis = 'host'").select("block", F.col("key").alias("host"), F.lit(True).alias("__h")).distinct()
     guests = held_sets.filter("axis = 'guest'").select("block", F.col("key").alias("guest"), F.lit(True).alias("__g")).distinct()
-    every = per_block(rows, "block", block_list(blocks, "block"))
+    every = per_block(rows, "block", blocks, "block")
     roles = every.join(hosts, ["block", "host"], "left").join(guests, ["block", "guest"], "left")
     role = double_cold_role(F.coalesce("__h", F.lit(False)), F.coalesce("__g", F.lit(False)))
     return roles.withColumn("role", role).drop("__h", "__g")
@@ -80,7 +80,7 @@ def admissible(roles: DataFrame, y: str = "y", min_test: int = 25, min_train: in
 
 def complement(test: DataFrame, universe: DataFrame, block: str = "block", row: str = "row_index") -> DataFrame:
     """Train rows of each block: the universe without the block's test rows."""
-    everything = per_block(universe.select(row).distinct(), block, block_list(test, block))
+    everything = per_block(universe.select(row).distinct(), block, test, block)
     return everything.join(test.select(block, row).distinct(), [block, row], "left_anti")
 
 

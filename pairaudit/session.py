@@ -39,7 +39,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="pairaudit-")
     spark.sparkContext.setCheckpointDir(folder)
