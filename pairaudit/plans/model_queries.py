@@ -10,6 +10,7 @@ from pairaudit.operators import models, resample, scoring, similarity, verify
 from pairaudit.plans.common import FOLDS_SQL, PAIRS_SQL, PANEL_SQL, RECORDS_SQL, REPEAT_SQL, finite_panel, folds, members, pairs, panel, r6, records
 from pairaudit.plans.curation_queries import _SIMILAR, _bits, _stated
 from pairaudit.plans.scoring_queries import _score_sql
+from pairaudit.session import Materialized
 from pairaudit.sources.catalog import table
 
 UNIT = ["split", "block_id", "model"]
@@ -20,25 +21,22 @@ def _numeric_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members(spark, sf_dir).withColumns(coded)
 
 
-def _one_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The membership of the first fold."""
-    return _numeric_members(spark, sf_dir).filter("fold = 0")
-
-
 def forest_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forests on one side's features each: host, guest, conditions, source."""
-    block, out = _one_block(spark, sf_dir), None
+    # written once: it is read for each block and side
+    blocks, out = Materialized(spark, "members").write(_numeric_members(spark, sf_dir)), None
     sides = {"host_only_RF": ["host"], "guest_only_RF": ["guest"], "cond_only_RF": ["solvent_code", "ph_code"], "source_only_RF": ["source_code"]}
     for name, features in sides.items():
-        part = models.fit_predict(block, features, models.forest(trees=20, depth=8), name)
+        part = models.fit_predict_blocks(blocks, features, models.forest(), name)
         out = part if out is None else out.unionByName(part)
-    return scoring.guarded_scores(out, ["model"]).select("model", "n", "r2", "status")
+    return scoring.guarded_scores(out, ["block_id", "model"]).select("block_id", "model", "n", "r2", "status")
 
 
 def boosted_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = ["host", "guest", "solvent_code", "ph_code", "source_code", "family_code"]
-    out = models.fit_predict(_one_block(spark, sf_dir), features, models.boosted(rounds=10, depth=5), "boosted")
-    return scoring.guarded_scores(out, ["model"]).select("model", "n", "r2", "status")
+    blocks = Materialized(spark, "members").write(_numeric_members(spark, sf_dir))
+    out = models.fit_predict_blocks(blocks, features, models.boosted(), "boosted")
+    return scoring.guarded_scores(out, ["block_id", "model"]).select("block_id", "model", "n", "r2", "status")
 
 
 def cluster_cold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairaudit.functions import chem, sequences
 from pairaudit.operators import models, resample, verify
+from pairaudit.plans import model_queries
 
 
 def test_average_linkage_finds_blocks():
@@ -128,3 +129,30 @@ def test_chemistry_is_optional(spark):
             chem.with_heavy_atoms(df, "s")
         return
     assert chem.with_heavy_atoms(df, "s").first().heavy == 3
+
+
+@pytest.mark.parametrize(("query", "kind", "names"), [("forest_nulls", "forest", 4), ("boosted_model", "boosted", 1)])
+def test_every_block_has_its_model(spark, monkeypatch, query, kind, names):
+    rng = random.Random(4)
+    rows = [(b, f"host_cold_{b}", i, "test" if i % 3 == b else "train", i % 5, i % 7, rng.random(), i % 2, i % 3, 1, 2) for b in range(3) for i in range(30)]
+    rows += [(3, "host_cold_3", 1, "test", 1, 1, 0.5, 0, 0, 0, 0)]  # nothing to fit
+    df = spark.createDataFrame(rows, "fold bigint, block_id string, row_index bigint, role string, host int, guest int, y double, solvent_code int, ph_code int, source_code int, family_code int")
+    asked, real = [], getattr(models, kind)
+
+    def small(**kw):
+        asked.append(kw)
+        return real(2, 2)
+
+    monkeypatch.setattr(model_queries, "_numeric_members", lambda *_: df)
+    monkeypatch.setattr(models, kind, small)
+    got = model_queries.QUERIES[query](spark, "").collect()
+    assert {r.block_id: r.n for r in got if r.block_id != "host_cold_3"} == {f"host_cold_{b}": 10 for b in range(3)}
+    assert len(got) == 4 * names
+    assert all(r.r2 is None for r in got if r.block_id == "host_cold_3")
+    assert asked == [{}] * names  # the sizes that are the default
+
+
+def test_models_have_the_sizes_of_the_survey():
+    forest, boosted = models.forest(), models.boosted()
+    assert (forest.getNumTrees(), forest.getFeatureSubsetStrategy()) == (300, "sqrt")
+    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize(), boosted.getSubsamplingRate()) == (600, 6, 0.05, 0.8)
