@@ -13,7 +13,8 @@ on their template.  Then the slots are checked:
   the hash covers template and slots, and the text behind it is compared.
 - ``slots="consistent"``: names must be exchanged one for one, so that each
   name has one counterpart; numbers may be any.  This catches items that were
-  asked again with other parameters.
+  asked again with other parameters.  One for one means that the same places
+  hold equal names, so which of its names are equal is part of a window's key.
 
 Nothing is sampled: every window of every text takes part.  Document windows
 are tried against a filter of the items' windows first, a byte table of bounded
@@ -171,11 +172,20 @@ class _Laid:
         return at[at + length <= self.end[at]]
 
 
-WINDOW = "id {kind}, length int, code long, words string"
+WINDOW = "id {kind}, length int, code long, names long, words string"
+_NAME_CODE = xxhash.xxh64_intdigest(NAME)
+
+
+def names_code(words: Sequence[str], named: Sequence[bool]) -> int:
+    """Code of which names in the window are equal; 0 if it has none."""
+    first: dict[str, int] = {}
+    places = [first.setdefault(w, len(first)) for w, n in zip(words, named, strict=True) if n]
+    return xxhash.xxh64_intdigest(np.array(places, dtype=np.int32).tobytes()) if places else 0
 
 
 def _windows_of(texts: Iterator[tuple[object, list[str]]], coder: _Coder, lengths, keep) -> Iterator[tuple]:
-    """``(id, length, code, words)`` of the kept windows.
+    """``(id, length, code, names, words)`` of the kept windows, one of those
+    that are alike in all but the words: they match the same windows.
 
     Several texts are laid end to end and hashed together; a window across an
     edge is left out.
@@ -183,6 +193,7 @@ def _windows_of(texts: Iterator[tuple[object, list[str]]], coder: _Coder, length
 
     def flush(ids: list, parts: list[list[str]]) -> Iterator[tuple]:
         coded = [coder(p) for p in parts]
+        named: dict[int, list[bool]] = {}
         by_base: dict[int, list[int]] = {}
         for length in lengths(parts):
             by_base.setdefault(base_of(length), []).append(length)
@@ -196,13 +207,18 @@ def _windows_of(texts: Iterator[tuple[object, list[str]]], coder: _Coder, length
                     laid = _Laid(coded, chosen)
             for length in members:
                 x = laid.codes(length)
-                seen: set[tuple[int, int]] = set()
+                seen: set[tuple[int, int, int]] = set()
                 for i in laid.whole(length, keep(x)).tolist():
-                    who, code = int(laid.owner[i]), int(x[i])
-                    if (who, code) not in seen:
-                        seen.add((who, code))
-                        at = i - int(laid.start[i])
-                        yield ids[who], length, code, " ".join(parts[who][at : at + length])
+                    who, code, names = int(laid.owner[i]), int(x[i]), 0
+                    at = i - int(laid.start[i])
+                    words = parts[who][at : at + length]
+                    if not coder.same:  # else the code covers the names
+                        if who not in named:
+                            named[who] = (coded[who] == np.uint64(_NAME_CODE)).tolist()
+                        names = names_code(words, named[who][at : at + length])
+                    if (who, code, names) not in seen:
+                        seen.add((who, code, names))
+                        yield ids[who], length, code, names, " ".join(words)
 
     ids: list = []
     parts: list[list[str]] = []
@@ -221,15 +237,16 @@ def _windows_of(texts: Iterator[tuple[object, list[str]]], coder: _Coder, length
 
 def _batches(rows: Iterator[tuple], kind: pa.DataType, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     def batch(held: list[tuple]) -> pa.RecordBatch:
-        ids, lengths, codes, words = zip(*held, strict=True)
+        ids, lengths, codes, names, words = zip(*held, strict=True)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, kind),
                 pa.array(lengths, pa.int32()),
                 pa.array(np.array(codes, dtype=np.uint64).view(np.int64)),
+                pa.array(np.array(names, dtype=np.uint64).view(np.int64)),
                 pa.array(words, pa.string()),
             ],
-            names=["id", "length", "code", "words"],
+            names=["id", "length", "code", "names", "words"],
         )
 
     held: list[tuple] = []
@@ -277,7 +294,7 @@ def find_leaks(
                 length = run_length(len(words), share)
                 for n in {length, base_of(length)}:
                     one = _windows_of(iter([(key.as_py(), words)]), coder, lambda _, n=n: [n], lambda x: np.arange(len(x)))
-                    yield from one if n == length else ((k, size, code, None) for k, size, code, _ in one)
+                    yield from one if n == length else ((k, size, code, 0, None) for k, size, code, _, _ in one)
 
         for batch in batches:
             yield from _batches(rows(batch), batch.column(0).type)
@@ -315,9 +332,9 @@ def find_leaks(
     read = documents.select(F.col(doc_key).alias("id"), F.col(doc_text).alias("t")).filter("id IS NOT NULL AND t <> ''")
     of_documents = read.mapInArrow(document_windows, WINDOW.format(kind=doc_type.simpleString()))
 
-    left = of_documents.select(F.col("id").alias("doc"), "length", "code", F.col("words").alias("doc_words"))
-    right = of_items.filter("words IS NOT NULL").select(F.col("id").alias("item"), "length", "code", F.col("words").alias("item_words"))
-    joined = left.join(right, ["length", "code"])
+    left = of_documents.select(F.col("id").alias("doc"), "length", "code", "names", F.col("words").alias("doc_words"))
+    right = of_items.filter("words IS NOT NULL").select(F.col("id").alias("item"), "length", "code", "names", F.col("words").alias("item_words"))
+    joined = left.join(right, ["length", "code", "names"])
     if same:
         checked = joined.filter("doc_words = item_words")
     else:

@@ -136,6 +136,34 @@ def test_other_parameters(spark):
     assert leaks(spark, docs, [(7, item)], share=1.0) == {(3, 7)}
 
 
+def test_an_instance_that_differs_hides_no_later_one(spark):
+    item = "Binding of mextherene to water gave log K 5.96 at 309.0 K and mextherene stayed flat"
+    other = item.replace("mextherene", "kavalione", 1)
+    renamed = item.replace("mextherene", "kavalione").replace("5.96", "8.10")
+    docs = [(1, f"{other} {renamed}"), (2, f"{other} {item}"), (3, f"{other} {other}")]
+    assert leaks(spark, docs, [(7, item)], slots="consistent", share=1.0) == {(1, 7), (2, 7)}
+    # the windows of the item: its second half alone has two equal names
+    halves = "the mextherene of kavalione melts the mextherene of mextherene melts"
+    assert leaks(spark, [(1, "the ropalide of ropalide melts")], [(7, halves)], slots="consistent") == {(1, 7)}
+
+
+def test_consistent_leaks_against_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = "the mextherene kavalione ropalide 12 980".split()
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items, docs = [(i, text(rng.randint(4, 20))) for i in range(30)], [(d, text(rng.randint(5, 60))) for d in range(40)]
+    want = set()
+    for i, t in items:
+        w = leakage.words_of(t)
+        n = leakage.run_length(len(w), 0.5)
+        for d, x in docs:
+            v = leakage.words_of(x)
+            if any(leakage.slots_consistent(v[a : a + n], w[b : b + n]) for a in range(len(v) - n + 1) for b in range(len(w) - n + 1)):
+                want.add((d, i))
+    assert leaks(spark, docs, items, slots="consistent") == want
+    assert 40 < len(want) < 1200
+
+
 def test_no_items_or_documents(spark):
     assert leaks(spark, [(1, "a b")], []) == set()
     assert leaks(spark, [], [(1, "a b")]) == set()
