@@ -44,7 +44,7 @@ def fit_predict(members: DataFrame, features: Sequence[str], estimator, name: st
     return out.select("row_index", F.lit(name).alias("model"), F.col("y").alias("y_true"), "y_pred")
 
 
-def fit_predict_blocks(members: DataFrame, features: Sequence[str], estimator, name: str, block: str = "block_id", at_once: int = 5, most: int = 10_000) -> DataFrame:
+def fit_predict_blocks(members: DataFrame, features: Sequence[str], estimator, name: str, block: str = "block_id", at_once: int = 2, most: int = 10_000) -> DataFrame:
     """``(block, row_index, model, y_true, y_pred)`` of every block, each with
     a model of its own; a block without train rows predicts null.
 
