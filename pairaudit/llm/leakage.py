@@ -51,6 +51,7 @@ NAME_ENDING = re.compile(r"(?:ene|ide|one|ium|ate|ole?|ine|ane|amide|al|yl|quin)
 
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 _WORD = re.compile(r"[^\W_]+")
+_PLAIN = re.compile(r"[\t\n\r -~]*")  # texts that look as they are written
 #: Bytes of the filter: 64 to a window, within these bounds.
 FILTER_MIN, FILTER_MAX = 1 << 12, 1 << 24
 #: Words that are hashed at a time in a worker, and remembered.
@@ -64,7 +65,7 @@ def words_of(text: str | None) -> list[str]:
     """Words without regard to case or to how they are written."""
     if not text:
         return []
-    return _WORD.findall((text if text.isascii() else canonical(text)).casefold())
+    return _WORD.findall((text if _PLAIN.fullmatch(text) else canonical(text)).casefold())
 
 
 def template_of(word: str) -> str:

@@ -101,6 +101,12 @@ def test_words():
     assert leakage.words_of(None) == leakage.words_of("") == leakage.words_of(" .,") == []
 
 
+@pytest.mark.parametrize("hidden", ["\0", "\x7f", "\x01"])
+def test_controls_split_no_word(spark, hidden):
+    assert leakage.words_of(f"mexthe{hidden}rene\tis\nflat") == ["mextherene", "is", "flat"]
+    assert leaks(spark, [(1, f"x the sa{hidden}lt of water y")], [(5, "the salt of water")]) == {(1, 5)}
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(9)
     vocabulary = "the salt of a host and 12 3.5 mextherene kd 980 k mol water".split()
