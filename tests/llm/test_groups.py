@@ -168,3 +168,10 @@ def test_overlap_against_brute_force(spark):
     got = {tuple(r) for r in cross_overlap.cross_split_pairs(folds(spark, rows), entries(spark, ents)).collect()}
     assert got == want
     assert want
+
+
+def test_all_keys_of_repeated_entries_count(spark):
+    f = folds(spark, [(0, "test", 1, "1", "1", None, None), (0, "train", 2, "2", "2", None, None), (0, "train", 3, "3", "3", None, None)])
+    ents = [("canonical", "l1", axis, i, k, False) for axis in ("host", "guest") for i, ks in (("1", "AZ"), ("2", "BZ"), ("3", "C")) for k in ks]
+    got = sorted(map(tuple, cross_overlap.cross_split_pairs(f, entries(spark, ents)).collect()))
+    assert got == [(0, 1, 2, "near")]
