@@ -120,9 +120,11 @@ def group_folds(df: DataFrame, group: str, n_folds: int = 5, groups_at_once: int
     """``(group, n, fold)``: groups dealt to folds, largest first, each to the
     fold with fewest rows.
 
-    The greedy rule is sequential, so it runs over the ``groups_at_once``
-    largest groups only; the rest, each no larger than the smallest of those,
-    go to folds by hash.
+    The rule is sequential.  The ``groups_at_once`` largest groups are dealt
+    one by one; the rest, each no larger than the smallest of those, on the
+    histogram of their sizes, a run of equally large groups at once.  Among
+    those of one size the order is by group, in the rest by hash and group,
+    so that no task ranks all of them; the loads are the same.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
     largest = sizes.orderBy(F.desc("n"), F.asc(group)).limit(groups_at_once).collect()
@@ -136,8 +138,43 @@ def group_folds(df: DataFrame, group: str, n_folds: int = 5, groups_at_once: int
     head = df.sparkSession.createDataFrame(placed, schema)
     if len(largest) < groups_at_once:
         return head
-    rest = sizes.join(F.broadcast(head.select(group)), group, "left_anti")
-    return head.unionByName(rest.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(n_folds)).cast("int")))
+    last, least = largest[-1]
+    key = F.col(group)
+    after = key.isNotNull() if last is None else key > F.lit(last).cast(sizes.schema[group].dataType)
+    rest = sizes.filter((F.col("n") < least) | ((F.col("n") == least) & after))
+    rest = rest.withColumn("__shard", F.pmod(F.xxhash64(group), F.lit(256)))
+    counts = rest.groupBy("n", "__shard").agg(F.count("*").alias("__c"))
+    unit = W.partitionBy("n")
+    counts = counts.select("n", "__shard", (F.sum("__c").over(unit.orderBy("__shard")) - F.col("__c")).alias("__base"), F.sum("__c").over(unit).alias("__all"))
+    runs = sorted(((r["n"], r["__all"]) for r in counts.select("n", "__all").distinct().collect()), reverse=True)
+    loads = {f: held_rows for held_rows, f in load}
+    dealt = [(n, _deal(loads, n, count)) for n, count in runs]
+    deals = df.sparkSession.createDataFrame(dealt, "n bigint, __deals array<struct<start: bigint, folds: array<int>>>")
+    rank = F.col("__base") + F.row_number().over(W.partitionBy("n", "__shard").orderBy(group)) - 1
+    ranked = rest.join(counts, ["n", "__shard"]).withColumn("__rank", rank).join(deals, "n")
+    ranked = ranked.withColumn("__d", F.element_at(F.filter("__deals", lambda d: d["start"] <= F.col("__rank")), -1))
+    place = F.pmod(F.col("__rank") - F.col("__d.start"), F.size("__d.folds").cast("bigint")).cast("int")
+    return head.unionByName(ranked.select(group, "n", F.get("__d.folds", place).alias("fold")))
+
+
+def _deal(loads: dict[int, int], n: int, count: int) -> list[tuple[int, list[int]]]:
+    """Deals ``count`` groups of ``n`` rows greedily and adds them to ``loads``:
+    ``(start, folds)``, from rank ``start`` on the folds take turns."""
+    deals, at = [], 0
+    while at < count:
+        order = sorted((held_rows, f) for f, held_rows in loads.items())
+        # those that come before any other is reached
+        turn = [x for x in order if (x[0] - n, x[1]) < order[0]]
+        others = order[len(turn) :]
+        picks = count - at
+        if others:
+            rows, g = others[0]
+            picks = min(picks, sum(-((held_rows - rows) // n) + ((rows - held_rows) % n == 0 and f < g) for held_rows, f in turn))
+        deals.append((at, [f for _, f in turn]))
+        for k, (_, f) in enumerate(turn):
+            loads[f] += n * (picks // len(turn) + (k < picks % len(turn)))
+        at += picks
+    return deals
 
 
 def inner_validation(train: DataFrame, by: Sequence[str], row: str, share: float = 0.15, least: int = 20) -> DataFrame:

@@ -54,6 +54,14 @@ def test_group_folds_are_balanced(spark):
     assert several.count() == len(got)
 
 
+def test_small_groups_are_dealt_by_the_same_rule(spark):
+    rows = [(f"g{i}",) for i in range(400) for _ in range(1 + i % 4)] + [("large",)] * 90 + [(None,)] * 3
+    df = spark.createDataFrame(rows, "g string")
+    whole, parts = (splits.group_folds(df, "g", groups_at_once=k).collect() for k in (100_000, 3))
+    assert Counter(r.g for r in parts) == Counter(r.g for r in whole) == {g: 1 for g in {r[0] for r in rows}}
+    assert Counter((r.n, r.fold) for r in parts) == Counter((r.n, r.fold) for r in whole)
+
+
 @pytest.mark.parametrize(("h", "g", "p", "want"), [(1, 1, 1, 0), (1, 1, 0, 1), (1, 0, 0, 2), (0, 1, 0, 3), (0, 0, 0, 4), (0, 1, 1, None), (1, 0, 1, None), (0, 0, 1, None)])
 def test_classes(spark, h, g, p, want):
     df = spark.createDataFrame([(bool(h), bool(g), bool(p))], "h boolean, g boolean, p boolean")
