@@ -25,7 +25,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_overlap.overlap_report(
-        p3_found(spark, sf_dir), table(spark, sf_dir, "folds_host_canonical"), table(spark, sf_dir, "clean_condition")
+        table(spark, sf_dir, "folds_host_canonical"), table(spark, sf_dir, "identity_entry"), table(spark, sf_dir, "clean_condition")
     )
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pairaudit.llm import cross_overlap, group_splits
@@ -138,7 +139,7 @@ def test_overlap_rules(spark):
     got = sorted(map(tuple, cross_overlap.cross_split_pairs(f, e).collect()))
     assert got == [(0, 1, 2, "exact"), (0, 1, 3, "near"), (1, 1, 3, "near")]
     records = spark.createDataFrame([(1, "s1"), (3, None)], "row_index bigint, source string").withColumn("loaded_at", F.current_timestamp())
-    report = cross_overlap.overlap_report(cross_overlap.cross_split_pairs(f, e), f, records)
+    report = cross_overlap.overlap_report(f, e, records)
     assert sorted(map(tuple, report.collect()), key=str) == sorted([(0, "s1", "exact", 1, 1), (0, "s1", "near", 1, 1), (1, None, "near", 1, 1)], key=str)
 
 
@@ -175,3 +176,70 @@ def test_all_keys_of_repeated_entries_count(spark):
     ents = [("canonical", "l1", axis, i, k, False) for axis in ("host", "guest") for i, ks in (("1", "AZ"), ("2", "BZ"), ("3", "C")) for k in ks]
     got = sorted(map(tuple, cross_overlap.cross_split_pairs(f, entries(spark, ents)).collect()))
     assert got == [(0, 1, 2, "near")]
+
+
+def key_text(rng, n=12):
+    return "".join(rng.choice(["C", "N", "O", "C(F)", "C(O)", "c1cc", "=O", "Br"]) for _ in range(n))
+
+
+def test_segments_find_every_pair_within_the_radius():
+    rng = np.random.default_rng(4)
+    a = rng.random((300, cross_overlap.BITS)) < 0.5
+    for radius in (0, 1, 3, 7):
+        flips = np.zeros_like(a)
+        for row in flips:
+            row[rng.choice(cross_overlap.BITS, radius, replace=False)] = True
+        shared = cross_overlap.segments(a, radius) == cross_overlap.segments(a ^ flips, radius)
+        assert shared.any(axis=1).all()
+
+
+def test_fingerprints_of_equal_and_alike_texts():
+    rng = random.Random(2)
+    hosts, guests = [key_text(rng) for _ in range(50)], [key_text(rng) for _ in range(50)]
+    bits = cross_overlap.fingerprints(hosts + hosts, guests + guests)
+    assert (bits[:50] == bits[50:]).all()
+    edited = cross_overlap.fingerprints([h + "C" for h in hosts], guests)
+    other = cross_overlap.fingerprints(hosts[::-1], guests[1:] + guests[:1])
+    assert (bits[:50] ^ edited).sum(axis=1).mean() < (bits[:50] ^ other).sum(axis=1).mean() / 2
+    long = ["x" * 300_000, "", "é"]
+    assert (cross_overlap.fingerprints(long, long) == np.concatenate([cross_overlap.fingerprints([t], [t]) for t in long])).all()
+    assert len(cross_overlap.fingerprints([], [])) == 0
+
+
+def test_alike_keys_within_the_radius(spark):
+    """Below similarity 1 all pairs within radius and similarity are found."""
+    rng = random.Random(8)
+    base = [key_text(rng, 60) for _ in range(12)]
+    texts = {i: t if i < 12 else t[:k] + rng.choice("NOS") + t[k + 1 :] for i, (t, k) in enumerate([(b, rng.randrange(100)) for b in base * 3])}
+    rows = [(0, "test" if i < 12 else "train", i, str(i), "7", None, None) for i in texts]
+    ents = [("canonical", "l1", "host", str(i), t, False) for i, t in texts.items()] + [("canonical", "l1", "guest", "7", "G", False)]
+    radius = 11
+    got = {tuple(r)[1:3] for r in cross_overlap.cross_split_pairs(folds(spark, rows), entries(spark, ents), radius=radius, least_similarity=0.8).collect()}
+    bits = cross_overlap.fingerprints(list(texts.values()), ["G"] * len(texts))
+    near = {(a, b) for a in range(12) for b in range(12, 36) if (bits[a] ^ bits[b]).sum() <= radius and a == b % 12}
+    planted = {(b % 12, b) for b in range(12, 36)}
+    assert near <= got
+    assert all(a == b % 12 for a, b in got)
+    assert len(got & planted) >= 0.9 * len(planted)
+
+
+def test_many_folds_and_records_in_two_roles(spark):
+    rng = random.Random(21)
+    rows = [(f, rng.choice(["train", "test"]), r, str(rng.randrange(4)), str(rng.randrange(3)), None, None) for f in range(70) for r in range(6) for _ in range(2)]
+    ents = [("canonical", "l1", axis, str(i), "AB"[i % 2], False) for axis, n in (("host", 4), ("guest", 3)) for i in range(n)]
+    want = set()
+    for f, ra, a, ha, ga, _, _ in rows:
+        for f2, rb, b, hb, gb, _, _ in rows:
+            if f == f2 and ra == "test" and rb == "train" and a != b and int(ha) % 2 == int(hb) % 2 and int(ga) % 2 == int(gb) % 2:
+                want.add((f, min(a, b), max(a, b), "near"))
+    f, e = folds(spark, rows), entries(spark, ents)
+    assert {tuple(r) for r in cross_overlap.cross_split_pairs(f, e).collect()} == want
+    tests = {(f, r) for f, role, r, *_ in rows if role == "test"}
+    ends = Counter((f, r) for f, a, b, _ in want for r in (a, b) if (f, r) in tests)
+    records = spark.createDataFrame([(r, f"s{r % 2}") for r in range(6)], "row_index bigint, source string").withColumn("loaded_at", F.current_timestamp())
+    report = {(r.fold_index, r.source): (r.n_records, r.n_pairs) for r in cross_overlap.overlap_report(f, e, records).collect()}
+    expected = {}
+    for (fold, row), n in ends.items():
+        k = (fold, f"s{row % 2}")
+        expected[k] = (expected.get(k, (0, 0))[0] + 1, expected.get(k, (0, 0))[1] + n)
+    assert report == expected
