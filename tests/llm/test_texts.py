@@ -130,6 +130,23 @@ def test_look_alikes_do_not_hide_a_leak(spark):
     assert leaks(spark, [(1, f"x {hidden} y")], [(5, text)]) == {(1, 5)}
 
 
+ORDINARY = "binding of to gave log at and stayed flat the melts water heat in then cool for with salt a host".split()
+TEMPLATES = leakage.Templates(frozenset(ORDINARY))
+
+
+def test_templates():
+    of = TEMPLATES.of
+    assert [of(w) for w in ("of", "mextherene", "12", "10⁴", "kj", "kcal", "mg", "seconds", "tv", "as", "k", "µm")] == [
+        "of", "<name>", "<number>", "<number>", "<unit:energy>", "<unit:energy>", "<unit:g>", "<unit:time>", "<name>", "<name>", "<unit:temperature>", "<unit:m>"]
+
+
+def test_ordinary_words_are_counted_over_all_documents(spark):
+    docs = spark.createDataFrame([(i, f"The salt melts, the salt of name{i} {'rare' if i < 3 else ''}") for i in range(100)] + [(200, None), (201, "")], "id int, t string")
+    items = spark.createDataFrame([(1, "salt of name7 melts rare unseen"), (2, None)], "id int, t string")
+    assert leakage.ordinary_words(docs, items, 0.05) == {"salt", "melts", "of"}
+    assert leakage.ordinary_words(docs, items, 0.02) == {"salt", "melts", "of", "rare"}
+
+
 def test_other_parameters(spark):
     item = "Binding of mextherene to water gave log K 5.96 at 309.0 K and mextherene stayed flat"
     docs = [
@@ -138,8 +155,75 @@ def test_other_parameters(spark):
         (3, item),
         (4, "nothing of the kind"),
     ]
-    assert leaks(spark, docs, [(7, item)], slots="consistent", share=1.0) == {(1, 7), (3, 7)}
-    assert leaks(spark, docs, [(7, item)], share=1.0) == {(3, 7)}
+    assert leaks(spark, docs, [(7, item)], slots="consistent", share=1.0, ordinary=ORDINARY) == {(1, 7), (3, 7)}
+    assert leaks(spark, docs, [(7, item)], share=1.0, ordinary=ORDINARY) == {(3, 7)}
+
+
+# what is and what is not the same question with other parameters
+ASKED_AGAIN = [
+    ("heat 9 kj in 4 h of water then cool the salt", "heat 7 kcal in 5 min of water then cool the salt", True),
+    ("heat 9 kj in 4 h of water then cool the salt", "heat 5 mg in 3 ml of water then cool the salt", False),
+    ("cool the salt to 3 and the host to 3 and stayed flat", "cool the salt to 4 and the host to 4 and stayed flat", True),
+    ("cool the salt to 3 and the host to 3 and stayed flat", "cool the salt to 4 and the host to 9 and stayed flat", False),
+    ("cool the salt to 3 and the host to 8 and stayed flat", "cool the salt to 4 and the host to 4 and stayed flat", False),
+    ("binding of 6.1 to the salt gave 8.1 at water", "binding of 7.2 to the salt gave 9.3 at water", True),
+    ("the xenone of water and the xenone of salt", "the yrrole of water and the yrrole of salt", True),
+    ("the xenone of water and the xenone of salt", "the yrrole of water and the zolide of salt", False),
+    ("the xenone of water and the xenone of salt", "the xenone of salt and the xenone of water", False),
+    ("5 mg 3 ml xenone 7", "6 mg 4 ml yrrole 8", False),  # no ordinary words: says too little
+    ("5 mg 3 ml xenone 7", "5 mg 3 ml xenone 7", True),
+]
+
+
+def test_questions_asked_again(spark):
+    """Every pair of the list alone, then all of them at once."""
+    for i, (item, doc, want) in enumerate(ASKED_AGAIN):
+        got = leaks(spark, [(1, f"zzz {doc} zzz")], [(i, item)], slots="consistent", share=1.0, ordinary=ORDINARY)
+        assert got == ({(1, i)} if want else set()), (item, doc)
+        assert leakage.windows_match(leakage.words_of(item), leakage.words_of(doc), TEMPLATES, "consistent") == want
+
+
+def test_planted_variants_precision_and_recall(spark):
+    rng = random.Random(12)
+    name = lambda: "".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4))
+    frames = ["heat {0} in {n} mg of water then cool the {1} for {m} h", "the {0} melts at {n} k and the {1} stayed flat with a salt of {0}", "binding of {0} to {1} gave log {n} at {m} k and the {0} melts"]
+    fill = lambda f, a, b, n, m: f.format(a, b, n=n, m=m)
+    items, docs = [], []
+    for i in range(30):
+        a, b = name(), name()
+        two = [frames[i % 3], frames[(i + 1 + i // 3 % 2) % 3]]
+        n, m, k, j = rng.sample(range(10, 99), 4)
+        items.append((i, f"{fill(two[0], a, b, n, m)}. {fill(two[1], b, a, k, j)}"))
+        c, d = name(), name()
+        p, q, r, t = rng.sample(range(100, 999), 4)
+        docs.append((100 + i, f"{name()} {fill(two[0], c, d, p, q)}. {fill(two[1], d, c, r, t)} {name()}"))
+        docs.append((200 + i, f"{fill(two[0], c, d, p, q)}. {fill(two[1], c, d, r, t)}"))  # names changed places half way
+    whole = {(d, i) for d, t in docs for i, u in items if leakage.windows_match(leakage.words_of(t)[1:-1] if d < 200 else leakage.words_of(t), leakage.words_of(u), TEMPLATES, "consistent")}
+    got = leaks(spark, docs, items, slots="consistent", share=1.0, ordinary=ORDINARY)
+    assert got == whole
+    assert {(100 + i, i) for i in range(30)} <= got  # recall
+    assert not {x for x in got if x[0] >= 200}  # precision: none of the decoys
+    assert leaks(spark, docs, items, share=1.0, ordinary=ORDINARY) == set()
+
+
+def test_the_template_makes_the_candidates(spark):
+    item = "Binding of mextherene to water gave log K 5.96 at 309.0 K and mextherene stayed flat"
+    docs = [(1, item.replace("mextherene", "kavalione")), (2, item.replace("mextherene", "ropalide", 1)), (3, item)]
+    it = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    for slots, found in (("same", {3}), ("consistent", {1, 3})):
+        joined = leakage.leak_candidates(documents(spark, docs), it, slots=slots, share=1.0, ordinary=ORDINARY)
+        assert {r.doc for r in joined.collect()} == {1, 2, 3}
+        assert {r[0] for r in leaks(spark, docs, [(7, item)], slots=slots, share=1.0, ordinary=ORDINARY)} == found
+
+
+def test_items_in_several_passes(spark, monkeypatch):
+    rng = random.Random(4)
+    item = lambda n: " ".join(rng.choice(ORDINARY) for _ in range(n))
+    items = [(i, item(rng.randint(1, 20))) for i in range(30)]
+    docs = [(d, item(rng.randint(1, 100))) for d in range(40)]
+    want = leaks(spark, docs, items, ordinary=ORDINARY)
+    monkeypatch.setattr(leakage, "ITEMS_WINDOWS", 60)
+    assert leaks(spark, docs, items, ordinary=ORDINARY) == want == brute(docs, items)
 
 
 def test_an_instance_that_differs_hides_no_later_one(spark):
@@ -147,15 +231,15 @@ def test_an_instance_that_differs_hides_no_later_one(spark):
     other = item.replace("mextherene", "kavalione", 1)
     renamed = item.replace("mextherene", "kavalione").replace("5.96", "8.10")
     docs = [(1, f"{other} {renamed}"), (2, f"{other} {item}"), (3, f"{other} {other}")]
-    assert leaks(spark, docs, [(7, item)], slots="consistent", share=1.0) == {(1, 7), (2, 7)}
+    assert leaks(spark, docs, [(7, item)], slots="consistent", share=1.0, ordinary=ORDINARY) == {(1, 7), (2, 7)}
     # the windows of the item: its second half alone has two equal names
     halves = "the mextherene of kavalione melts the mextherene of mextherene melts"
-    assert leaks(spark, [(1, "the ropalide of ropalide melts")], [(7, halves)], slots="consistent") == {(1, 7)}
+    assert leaks(spark, [(1, "the ropalide of ropalide melts")], [(7, halves)], slots="consistent", ordinary=ORDINARY) == {(1, 7)}
 
 
 def test_consistent_leaks_against_brute_force(spark):
     rng = random.Random(3)
-    vocabulary = "the mextherene kavalione ropalide 12 980".split()
+    vocabulary = "the of mextherene kavalione ropalide 12 980 melts".split()
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     items, docs = [(i, text(rng.randint(4, 20))) for i in range(30)], [(d, text(rng.randint(5, 60))) for d in range(40)]
     want = set()
@@ -164,9 +248,9 @@ def test_consistent_leaks_against_brute_force(spark):
         n = leakage.run_length(len(w), 0.5)
         for d, x in docs:
             v = leakage.words_of(x)
-            if any(leakage.slots_consistent(v[a : a + n], w[b : b + n]) for a in range(len(v) - n + 1) for b in range(len(w) - n + 1)):
+            if any(leakage.windows_match(v[a : a + n], w[b : b + n], TEMPLATES, "consistent") for a in range(len(v) - n + 1) for b in range(len(w) - n + 1)):
                 want.add((d, i))
-    assert leaks(spark, docs, items, slots="consistent") == want
+    assert leaks(spark, docs, items, slots="consistent", ordinary=ORDINARY) == want
     assert 40 < len(want) < 1200
 
 
