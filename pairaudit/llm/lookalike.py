@@ -7,21 +7,30 @@ starter before it, because a mark may combine with that, brought to the
 canonical form, and spliced back between the untouched stretches.  Most texts
 have no unstable segment and pass through as they are.
 
-The canonical form
+The canonical form, under which texts that look alike are equal,
 - drops what cannot be seen: format characters, variation selectors, fillers,
   controls other than blanks and line breaks;
 - turns every blank (tab, no-break, figure, thin, ideographic ...) into one
   space, and every kind of line break into one line feed;
-- takes the width out of full-width and half-width forms, opens ligatures and
-  digraphs, and makes the hyphen and the no-break hyphen a hyphen-minus;
+- takes width and mathematical fonts out of letters and digits, opens ligatures
+  and digraphs, and makes the hyphen and the no-break hyphen a hyphen-minus;
 - folds letters that look like Latin ones (the tables below), each after
   canonical decomposition, so accents stay;
+- in words that hold a Latin letter, folds the further letters that the Unicode
+  confusables data (UTS 39) call confusable with one of the same case: alone
+  such letters (a Greek alpha, a Cyrillic te) are letters of their own;
 - composes canonically.
 It keeps capitals, accents, raised and lowered digits, and the number of
 blanks.  Null stays null and empty stays empty; texts of any length are
-normalised whole.  Pairs: repeated rows count once; texts that show nothing at
-all look the same as each other; empty tables give no rows; other columns do
-not take part.
+normalised whole.
+
+The canonical form is a key.  ``readable`` is the text to train on: it differs
+in that letters of other scripts are folded in words with a Latin letter only,
+so a word of one script stays in it, and joiners stay between emoji and in
+scripts that join.
+
+Pairs: repeated rows count once; texts that show nothing at all look the same
+as each other; empty tables give no rows; other columns do not take part.
 """
 
 from __future__ import annotations
@@ -29,11 +38,11 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairaudit.session import Materialized
@@ -80,11 +89,20 @@ def _plain(c: str) -> str:
     if category in ("Cf", "Cc") and c not in SEEN:
         return ""
     kind, _, rest = unicodedata.decomposition(c).partition(" ")
-    if kind in ("<wide>", "<narrow>", "<noBreak>") or (kind.startswith("<") and _opened(c)):
+    if kind in ("<wide>", "<narrow>", "<noBreak>", "<font>") or (kind.startswith("<") and _opened(c)):
         return "".join(_plain(chr(int(x, 16))) for x in rest.split())
     return "".join(LOOKALIKE.get(x, x) for x in unicodedata.normalize("NFD", c))
 
 
+@cache
+def _unfolded(c: str) -> str:
+    """As ``_plain``, but letters keep their script."""
+    kind, _, rest = unicodedata.decomposition(c).partition(" ")
+    if kind in ("<wide>", "<narrow>", "<noBreak>", "<font>") or (kind.startswith("<") and _opened(c)):
+        return "".join(_unfolded(chr(int(x, 16))) for x in rest.split())
+    return unicodedata.normalize("NFD", c) if c.isalpha() else _plain(c)
+
+
 @cache
 def _stable(c: str) -> bool:
     """Quick check: stands for itself and never combines backwards."""
@@ -97,6 +115,70 @@ def _form(segment: str) -> str:
     return unicodedata.normalize("NFC", "".join(map(_plain, segment.replace("\r\n", "\n"))))
 
 
+def _joins(c: str) -> bool:
+    """Characters beside which a joiner is seen."""
+    return unicodedata.category(c) in ("So", "Sk", "Lo", "Mn", "Mc") or 0xFE00 <= ord(c) <= 0xFE0F
+
+
+def _readable_form(segment: str) -> str:
+    s = segment.replace("\r\n", "\n")
+    out = []
+    for i, c in enumerate(s):
+        joiner = c in "\u200c\u200d" and 0 < i < len(s) - 1 and _joins(s[i - 1]) and _joins(s[i + 1])
+        selector = c == "\ufe0f" and i and unicodedata.category(s[i - 1]) in ("So", "Sk")
+        out.append(c if joiner or selector else _unfolded(c))
+    return unicodedata.normalize("NFC", "".join(out))
+
+
+def confusables(spark: SparkSession) -> dict[str, str]:
+    """Letters that the Unicode confusables data (UTS 39) hold confusable with
+    a Latin letter of their case, and that letter.
+
+    The data are those of the ICU library that Spark brings along (ICU 77, the
+    data of Unicode 16, with Spark 4.1); a Spark without it gives no letters.
+    Letters of the Latin script are other letters to a reader, but for the two
+    that are another shape of one.
+    """
+    icu = getattr(spark.sparkContext._jvm.com.ibm.icu.text, "SpoofChecker", None)
+    if not hasattr(icu, "Builder"):
+        return {}
+    checker = icu.Builder().build()
+    skeletons = lambda chars: checker.getSkeleton("\n".join(chars)).split("\n")
+    latin = [chr(c) for c in range(128) if chr(c).isalpha()]
+    of: dict[str, list[str]] = {}
+    for letter, skeleton in zip(latin, skeletons(latin), strict=True):
+        of.setdefault(skeleton, []).append(letter)
+    han = lambda c: 0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD800 or 0x17000 <= c < 0x19000 or c >= 0x20000
+    others = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lo") and not han(c)]
+    out = {}
+    for c, skeleton in zip(others, skeletons(others), strict=True):
+        if unicodedata.name(c, "").startswith("LATIN") and c not in "\u0251\u0261":
+            continue
+        kind = unicodedata.category(c)
+        fit = [x for x in of.get(skeleton, ()) if (kind == "Lo") or (x.isupper() == (kind == "Lu"))]
+        if fit and unicodedata.normalize("NFD", c) == c:
+            out[c] = fit[-1]
+    return out
+
+
+NONE: Mapping[str, str] = {}
+#: Words: letters and their marks.
+_WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
+_LATIN = re.compile("[A-Za-z]")
+
+
+def _folded_words(text: str, table: Mapping[str, str]) -> str:
+    """Fold the letters of ``table`` in words that hold a Latin letter."""
+
+    def fold(found: re.Match) -> str:
+        word = found.group()
+        if word.isascii() or not _LATIN.search(apart := unicodedata.normalize("NFD", word)):
+            return word
+        return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in apart))
+
+    return _WORD.sub(fold, text)
+
+
 #: Stretches outside printable ASCII and line feeds.
 _DOUBTFUL = re.compile(r"(?:\r\n?|[^\x20-\x7e\n])+")
 #: Characters found stable so far.
@@ -133,44 +215,79 @@ def _segments(text: str, unstable: set[str]) -> Iterator[tuple[int, int]]:
         done = end
 
 
-def canonical(text: str) -> str:
-    """``text`` in the one form under which texts that look alike are equal."""
-    doubtful = set(text) - _KNOWN_STABLE
-    unstable = {c for c in doubtful if not _stable(c)}
-    _KNOWN_STABLE.update(doubtful - unstable)
-    if not unstable:
-        return text
+def _spliced(text: str, unstable: set[str], form) -> str:  # noqa: ANN001
     parts: list[str] = []
     done = 0
     for begin, end in _segments(text, unstable):
         begin = max(done, begin - 1)  # the starter that a mark may join
         parts.append(text[done:begin])
-        parts.append(_form(text[begin:end]))
+        parts.append(form(text[begin:end]))
         done = end
     parts.append(text[done:])
     return "".join(parts)
 
 
-def canonical_of(series: pd.Series) -> pd.Series:
-    return series.map(lambda t: t if t is None or (t.isascii() and t.isprintable()) else canonical(t))
+def canonical(text: str, wide: Mapping[str, str] = NONE) -> str:
+    """``text`` in the one form under which texts that look alike are equal.
+
+    ``wide`` are the ``confusables``."""
+    doubtful = set(text) - _KNOWN_STABLE
+    if not doubtful:
+        return text
+    unstable = {c for c in doubtful if not _stable(c)}
+    _KNOWN_STABLE.update(c for c in doubtful - unstable if not _other_script(c))
+    if unstable:
+        text = _spliced(text, unstable, _form)
+    return text if wide.keys().isdisjoint(doubtful) else _folded_words(text, wide)
+
+
+@cache
+def _other_script(c: str) -> bool:
+    """Letters that may be in a table of confusables: never taken as known."""
+    return unicodedata.category(c) in ("Lu", "Ll", "Lo") and (c in "\u0251\u0261" or not unicodedata.name(c, "LATIN").startswith("LATIN"))
+
+
+def readable(text: str, wide: Mapping[str, str] = NONE) -> str:
+    """``text`` to train on: one form, with words of other scripts kept."""
+    doubtful = set(text) - _KNOWN_STABLE
+    if not doubtful:
+        return text
+    unstable = {c for c in doubtful if not _stable(c)}
+    if unstable:
+        text = _spliced(text, unstable, _readable_form)
+    folds = {**wide, **LOOKALIKE}
+    return text if folds.keys().isdisjoint(text) else _folded_words(text, folds)
+
+
+def _looks_as_written(text: str | None) -> bool:
+    return text is None or (text.isascii() and text.isprintable())
+
+
+def canonical_of(series: pd.Series, wide: Mapping[str, str] = NONE) -> pd.Series:
+    return series.map(lambda t: t if _looks_as_written(t) else canonical(t, wide))
 
 
 def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, text)`` with each text in its canonical form."""
+    """``(key, text, skeleton)``: each text as one should train on it, and its
+    canonical form, under which it equals all texts that look the same."""
+    wide = confusables(df.sparkSession)
 
-    @F.pandas_udf("string")
-    def form(series: pd.Series) -> pd.Series:
-        return canonical_of(series)
+    @F.pandas_udf(f"{text} string, skeleton string")
+    def forms(series: pd.Series) -> pd.DataFrame:
+        kept = series.map(lambda t: t if _looks_as_written(t) else readable(t, wide))
+        return pd.DataFrame({text: kept, "skeleton": canonical_of(series, wide)})
 
-    return df.select(key, form(F.col(text)).alias(text))
+    return df.select(key, forms(F.col(text)).alias("f")).select(key, "f.*")
 
 
 def _keyed(df: DataFrame, key: str, text: str, store: Materialized | None) -> DataFrame:
     """``(id, look, raw, h)``: digests of the look and of the characters."""
 
+    wide = confusables(df.sparkSession)
+
     @F.pandas_udf("binary")
     def look(series: pd.Series) -> pd.Series:
-        return canonical_of(series).map(lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest())
+        return canonical_of(series, wide).map(lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest())
 
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("id IS NOT NULL AND t <> ''")
     digests = rows.select("id", look("t").alias("look"), F.unhex(F.sha2("t", 256)).alias("raw"), F.xxhash64("t").alias("h"))
@@ -187,15 +304,18 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, store: Materialized | No
     """``(<key>_1, <key>_2)``: texts that look the same and are not equal.
 
     Only digests are shuffled.  Looks of a single spelling, be it one text or
-    a third of all, leave before the join.
+    a third of all, leave before the join.  Spellings are paired first, and
+    texts only by pairs of spellings, so copies of one spelling never meet.
     """
     keyed = _keyed(df, key, text, store)
     rows = keyed.join(_mixed(keyed), "look", "left_semi").select("id", "look", "raw").distinct()
-    other = rows.select(F.col("id").alias("id2"), "look", F.col("raw").alias("raw2"))
+    spellings = rows.select("look", "raw").distinct()
+    two = spellings.join(spellings.select("look", F.col("raw").alias("raw2")), "look").filter("raw < raw2").drop("look")
     return (
-        rows.join(other, "look")
-        .filter("id < id2 AND raw <> raw2")
-        .select(F.col("id").alias(f"{key}_1"), F.col("id2").alias(f"{key}_2"))
+        two.join(rows.select("raw", F.col("id").alias("a")), "raw")
+        .join(rows.select(F.col("raw").alias("raw2"), F.col("id").alias("b")), "raw2")
+        .filter("a <> b")
+        .select(F.least("a", "b").alias(f"{key}_1"), F.greatest("a", "b").alias(f"{key}_2"))
         .distinct()
     )
 

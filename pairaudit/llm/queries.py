@@ -130,11 +130,38 @@ WITH d AS (
     '{odd}', '{plain}')) AS look
   FROM documents WHERE text <> '')
 """
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if chr(c) != "＇")
-_ODD = "".join(lookalike.LOOKALIKE) + "µ" + _WIDE + "＇"
-_PLAIN = "".join(lookalike.LOOKALIKE.values()) + "μ" + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE) + "''"
+# Fixed values, written out here apart from the operator's own table: letters
+# of other scripts and the Latin letters they look like, then full-width forms.
+_ODD = (
+    "АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝѵӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳµ"
+    "ЁёЇїЀѐ"  # composed with their accents, as NFC leaves them
+    "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"
+    "０１２３４５６７８９，．：；－（）［］／＝＋％＂！？＊＇"
+)
+_PLAIN = (
+    "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwvlABEZHIKMNOPTYXovjμ"
+    "ËëÏïÈè"
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    """0123456789,.:;-()[]/=+%"!?*''"""
+)
 _LOOK = _LOOK.replace("{odd}", _ODD).replace("{plain}", _PLAIN)
 
+# the words of documents and items, and their runs of half an item's words
+_RUNS = (
+    _LOOK
+    + ", "
+    + _LOOK.strip().removeprefix("WITH").replace("d AS (", "e AS (").replace("doc_id", "item_id").replace("documents", "eval_items")
+    + r""",
+dw AS (SELECT doc_id, regexp_extract_all(lower(look), '[\p{L}\p{N}]+') AS w FROM d),
+iw AS (SELECT item_id, w, (len(w) + 1) // 2 AS n
+       FROM (SELECT item_id, regexp_extract_all(lower(look), '[\p{L}\p{N}]+') AS w FROM e) WHERE len(w) > 0),
+ir AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS run
+       FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM iw)),
+dr AS (SELECT DISTINCT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS run
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n))
+""".replace("\\\\", "\\")
+)
+
 ORACLE: dict[str, str] = {
     "p1_found": _TIES
     + """SELECT min(least) AS group_host_id, row_index FROM r JOIN reach USING (host) GROUP BY row_index""",
@@ -146,6 +173,11 @@ ORACLE: dict[str, str] = {
     SELECT fold_index, nullif(source, '') AS source, overlap, count(DISTINCT row) AS n_records, count(*) AS n_pairs
     FROM ends LEFT JOIN s USING (row)
     WHERE (fold_index, row) IN (SELECT (fold, row) FROM f WHERE role = 'test') GROUP BY 1, 2, 3""",
+    "p7_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (n, run)",
+    "p7_report": _RUNS
+    + """, found AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (n, run))
+    SELECT suite, source, count(DISTINCT item_id) AS n_items, count(DISTINCT doc_id) AS n_documents
+    FROM found JOIN documents USING (doc_id) JOIN eval_items USING (item_id) GROUP BY suite, source""",
     "p8_found": _LOOK
     + """SELECT DISTINCT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2 FROM d a JOIN d b USING (look)
          WHERE a.doc_id < b.doc_id AND a.text <> b.text""",

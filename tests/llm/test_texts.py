@@ -64,11 +64,56 @@ def test_pairs_and_classes(spark):
     assert got == [(1, 2), (2, 3), (7, 8)]
     classes = {r.doc_id: (r.class_id, r.n_texts, r.n_spellings) for r in lookalike.lookalike_classes(df, "doc_id", "text").collect()}
     assert classes == {1: (1, 3, 2), 2: (1, 3, 2), 3: (1, 3, 2), 7: (7, 2, 2), 8: (7, 2, 2)}
-    texts = {r.doc_id: r.text for r in lookalike.canonical_texts(df.filter("doc_id > 3"), "doc_id", "text").collect()}
-    assert texts == {4: "cafe", 5: None, 6: "", 7: "", 8: ""}
+    out = lookalike.canonical_texts(df.filter("doc_id > 3"), "doc_id", "text")
+    assert out.columns == ["doc_id", "text", "skeleton"]
+    assert {r.doc_id: r.text for r in out.collect()} == {r.doc_id: r.skeleton for r in out.collect()} == {4: "cafe", 5: None, 6: "", 7: "", 8: ""}
     assert lookalike.lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.fixture(scope="module")
+def wide(spark):
+    return lookalike.confusables(spark)
+
+
+def test_confusables_are_letters_of_the_same_case(wide):
+    assert len(wide) > 300
+    for c, x in wide.items():
+        assert len(x) == 1 and x.isascii() and x.isalpha() and not c.isascii()
+        assert c.isupper() <= x.isupper() and (not c.islower() or x.islower())
+
+
+ODD = [("𝐛old", "bold"), ("ρad", "pad"), ("αlpha", "alpha"), ("Ꮪet", "Set"), ("ɑbc", "abc"), ("ɡo", "go"), ("cօpy", "copy"), ("ꓐig", "Big"), ("κit", "κit"), ("сору", "copy"), ("ρ́ad", "ṕad")]
+
+
+@pytest.mark.parametrize(("odd", "plain"), ODD)
+def test_confusables(wide, odd, plain):
+    assert canonical(odd, wide) == canonical(plain, wide)
+    assert canonical(canonical(odd, wide), wide) == canonical(odd, wide)
+
+
+@pytest.mark.parametrize(("a", "b"), [*DIFFERENT, ("α-cyclodextrin", "a-cyclodextrin"), ("σ", "o"), ("10", "lO"), ("m", "rn"), ("I", "l"), ("3", "З"), ("sıra", "sira")])
+def test_what_a_reader_tells_apart(wide, a, b):
+    assert canonical(a, wide) != canonical(b, wide)
+
+
+def test_readable_text_keeps_words_of_other_scripts(wide):
+    for text in ("Москва сорока", "αβγ и ρ", "می\u200cخواهم", "👩\u200d🔬 ❤\ufe0f", "क्\u200dष"):
+        assert lookalike.readable(text, wide) == text
+    assert lookalike.readable("pаss ＡB\u200bc ρad", wide) == "pass ABc pad"
+    assert canonical("Москва", wide) == canonical("Mocквa", wide)
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=MIXED)
+def test_the_key_sees_no_difference_in_the_readable_text(wide, text):
+    assert canonical(lookalike.readable(text, wide), wide) == canonical(text, wide)
+
+
+def test_many_copies_of_two_spellings(spark):
+    df = documents(spark, [(i, "café" if i % 2 else "cafe\u0301") for i in range(60)])
+    assert lookalike.lookalike_pairs(df, "doc_id", "text").count() == 30 * 30
+
+
 def test_very_long_text(spark):
     long = "word café Ａ " * 40_000
     df = documents(spark, [(1, long), (2, long.replace("é", "é"))])
