@@ -6,9 +6,11 @@ sorted, the other is found in it by binary search, and each field is compared
 under a vectorised, null-aware mask.  The masked cells come out, one row each.
 
 The bucket count follows the row count, so a bucket's two tables stay within a
-few tens of megabytes at any size.  Repeated copies of a row are combined
-before the first shuffle: a key that holds a third of all rows arrives at its
-bucket as one row per task at most.
+few tens of megabytes at any size, and the partitions follow the buckets, so a
+task reads a few of them.  Each copy is shuffled once.  Buckets that hold far
+more rows than their share, because a key is repeated very often, are found by
+a count first; their rows are reduced to the latest of each key in the tasks
+that read them, so a key that holds a third of all rows arrives as one row.
 
 Defined results
 - a key that only one copy has: one row, ``missing_in_<left>`` or
@@ -37,6 +39,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairaudit.session import Materialized
+
+#: Buckets that a task reads, and tasks at most; rows in excess of which a
+#: bucket is reduced before it is sent, as multiples of its share.
+BUCKETS_A_TASK, MOST_TASKS, CROWDED = 3, 100_000, 3
+
 
 @dataclass(frozen=True)
 class Field:
@@ -128,6 +136,7 @@ def diff_copies(
     names: tuple[str, str] = ("left", "right"),
     rows_per_bucket: int = 60_000,
     rows: int | None = None,
+    store: Materialized | None = None,
 ) -> DataFrame:
     """Rows ``(*keys, difference)``: every key of one copy only and every
     field in which a shared key differs.
@@ -140,20 +149,32 @@ def diff_copies(
     if rows is None:
         rows = max(left.count(), right.count())
     n_buckets = max(1, -(-rows // rows_per_bucket))
+    n_parts = min(max(1, n_buckets // BUCKETS_A_TASK), MOST_TASKS)
+    by, named = [f"__k{i}" for i in range(len(keys))], [f"__f{i}" for i in range(len(fields))]
 
-    def prepared(df: DataFrame) -> DataFrame:
-        chosen = df.select(
-            *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-            *[(_packed_hex(F.col(f.name)) if f.hexadecimal else F.col(f.name)).alias(f"__f{i}") for i, f in enumerate(fields)],
+    def chosen(df: DataFrame) -> DataFrame:
+        return df.select(
+            *[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)],
+            *[(_packed_hex(F.col(f.name)) if f.hexadecimal else F.col(f.name)).alias(n) for f, n in zip(fields, named, strict=True)],
             (F.col(order_by) if order_by else F.lit(0)).alias("__order"),
-        )
-        by = [f"__k{i}" for i in range(len(keys))]
-        return (
-            chosen.groupBy(*by, *[f"__f{i}" for i in range(len(fields))])
-            .agg(F.max("__order").alias("__order"))
-            .withColumn("__digest", F.xxhash64(*[f"__f{i}" for i in range(len(fields))]))
-            .withColumn("__bucket", F.pmod(F.xxhash64(*by), F.lit(n_buckets)).cast("int"))
-        )
+        ).withColumn("__bucket", F.pmod(F.xxhash64(*by), F.lit(n_buckets)).cast("int"))
+
+    def crowded(df: DataFrame) -> DataFrame:
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(n_buckets)).cast("int").alias("__bucket")
+        counted = df.select(bucket).groupBy("__bucket").agg(F.count("*").alias("n"))
+        return counted.filter(F.col("n") > CROWDED * rows_per_bucket).select("__bucket")
+
+    hot = (store or Materialized(left.sparkSession, "diff")).write(crowded(left).unionByName(crowded(right)).distinct())
+    some_hot = not hot.isEmpty()
+
+    def prepared(df: DataFrame) -> DataFrame:
+        rows = chosen(df).withColumn("__digest", F.xxhash64(*named))
+        if some_hot:
+            latest = F.max_by(F.struct(*named, "__digest"), F.struct("__order", F.bitwise_not("__digest"))).alias("one")
+            reduced = rows.join(hot, "__bucket", "left_semi").groupBy(*by, "__bucket").agg(latest, F.max("__order").alias("__order"))
+            rest = rows.join(hot, "__bucket", "left_anti")
+            rows = rest.unionByName(reduced.select(*by, "one.*", "__order", "__bucket"))
+        return rows.repartition(n_parts, "__bucket")
 
     schema = T.StructType(
         [T.StructField(k, left.schema[k].dataType) for k in keys] + [T.StructField("difference", T.StringType())]

@@ -75,3 +75,16 @@ def test_ulp_distance_crosses_zero_and_signs():
     b = np.array([math.nextafter(1.0, 2), tiny, tiny, 1.0, -1.0])
     assert ulp_distance(a, b)[:3].tolist() == [1, 1, 2]
     assert (ulp_distance(a, b)[3:] > 1 << 60).all()
+
+
+def test_keys_repeated_very_often(spark):
+    """A third of all rows is one key: the latest of its rows counts."""
+    rng = random.Random(5)
+    many = [("hot", 1, rng.choice([1, 2, 3, None]), rng.choice(["aa", None]), rng.random(), rng.randint(0, 50)) for _ in range(400)]
+    last = ("hot", 1, 7, "ab", 1.0, 60)
+    rest = [("p", i, i, "cd", 0.5, 0) for i in range(800)]
+    a, b = [*many[:200], last, *many[200:], *rest], [("hot", 1, 8, "AB", 1.0, 1), *rest[1:], *rest[1:40]]
+    want = [("hot", 1, "f"), ("p", 0, "missing_in_b")]
+    assert diff(spark, a, b, rows_per_bucket=20) == want
+    assert diff(spark, a, b) == want
+    assert diff(spark, b, a, rows_per_bucket=20) == [("hot", 1, "f"), ("p", 0, "missing_in_a")]
