@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairaudit.operators.trees import target_encoded
+
 SHRINK = 5.0
 
 
@@ -63,29 +65,14 @@ def oof_encoded_ridge(
 ) -> DataFrame:
     """``(*by, row_index, y_true, y_pred)``: ridge on two target encodings.
 
-    Train rows are encoded by the smoothed means of the other folds, test rows
-    by those of all train rows.  Two features and an intercept need the 2 x 2
-    normal equations only, which are sums.
+    Train rows are encoded by the smoothed means of the other folds, whose own
+    overall mean is the prior, test rows by those of all train rows.  Two
+    features and an intercept need the 2 x 2 normal equations only, which are
+    sums.
     """
-    train, test = members.filter("role = 'train'"), members.filter("role = 'test'")
-    train = train.withColumn("__f", F.pmod(F.xxhash64("row_index"), F.lit(folds)))
-    overall = train.groupBy(*by).agg(F.avg("y").alias("__mu"))
-
-    def encoded(rows: DataFrame, out_of_fold: bool) -> DataFrame:
-        rows = rows.join(overall, list(by), "left")
-        for key, name in ((host, "x1"), (guest, "x2")):
-            total = train.groupBy(*by, key).agg(F.sum("y").alias("__s"), F.count("y").alias("__n"))
-            rows = rows.join(total, [*by, key], "left")
-            s, n = F.coalesce("__s", F.lit(0.0)), F.coalesce("__n", F.lit(0))
-            if out_of_fold:
-                inside = train.groupBy(*by, key, "__f").agg(F.sum("y").alias("__sf"), F.count("y").alias("__nf"))
-                rows = rows.join(inside, [*by, key, "__f"], "left")
-                s, n = s - F.coalesce("__sf", F.lit(0.0)), n - F.coalesce("__nf", F.lit(0))
-            value = (s + F.lit(shrink) * F.col("__mu")) / (n + F.lit(shrink))
-            rows = rows.withColumn(name, value - F.col("__mu")).drop("__s", "__n", "__sf", "__nf")
-        return rows
-
-    fit = encoded(train, True).withColumn("__r", F.col("y") - F.col("__mu"))
+    train, test = target_encoded(members, by, {host: "x1", guest: "x2"}, folds, shrink)
+    overall = members.filter("role = 'train'").groupBy(*by).agg(F.avg("y").alias("__mean"))
+    fit = train.join(overall, list(by)).withColumn("__r", F.col("y") - F.col("__mean"))
     moments = fit.groupBy(*by).agg(
         *[(F.covar_pop(a, b) * F.count("*")).alias(n) for a, b, n in (("x1", "x2", "c12"), ("x1", "__r", "c1"), ("x2", "__r", "c2"))],
         (F.var_pop("x1") * F.count("*") + F.lit(alpha)).alias("c11"),
@@ -102,9 +89,9 @@ def oof_encoded_ridge(
         "m___r",
     )
     prediction = (
-        F.col("__mu")
+        F.col("__mean")
         + F.col("m___r")
         + F.col("b1") * (F.col("x1") - F.col("m_x1"))
         + F.col("b2") * (F.col("x2") - F.col("m_x2"))
     )
-    return encoded(test, False).join(solved, list(by)).select(*by, "row_index", F.col("y").alias("y_true"), prediction.alias("y_pred"))
+    return test.join(overall, list(by)).join(solved, list(by)).select(*by, "row_index", F.col("y").alias("y_true"), prediction.alias("y_pred"))

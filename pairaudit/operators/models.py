@@ -1,82 +1,16 @@
-"""Models that serve as nulls, and structural clusters for cold splits."""
+"""Nearest rows, structural clusters for cold splits, training logs."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairaudit.session import checkpoint_dir
-
-
-def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    doubles = df.withColumns({f"__x_{f}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})
-    return VectorAssembler(inputCols=[f"__x_{f}" for f in features], outputCol="__features").transform(doubles)
-
-
-def forest(trees: int = 300, depth: int = 30, seed: int = 0) -> RandomForestRegressor:
-    """Random forest over the square root of the features, as deep as Spark
-    lets a tree be."""
-    return RandomForestRegressor(featuresCol="__features", labelCol="y", predictionCol="y_pred", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)
-
-
-def boosted(rounds: int = 600, depth: int = 6, rate: float = 0.05, seed: int = 0) -> GBTRegressor:
-    """Gradient-boosted trees over 0.8 of the rows a round."""
-    return GBTRegressor(featuresCol="__features", labelCol="y", predictionCol="y_pred", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed)
-
-
-def fit_predict(members: DataFrame, features: Sequence[str], estimator, name: str) -> DataFrame:
-    """``(row_index, model, y_true, y_pred)`` of one block: fitted on its
-    train rows, applied to its test rows.  Both run distributed."""
-    ready = _assembled(members, features)
-    fitted = estimator.fit(ready.filter("role = 'train' AND y IS NOT NULL").select("__features", "y"))
-    out = fitted.transform(ready.filter("role = 'test'"))
-    return out.select("row_index", F.lit(name).alias("model"), F.col("y").alias("y_true"), "y_pred")
-
-
-def fit_predict_blocks(members: DataFrame, features: Sequence[str], estimator, name: str, block: str = "block_id", at_once: int = 2, most: int = 10_000) -> DataFrame:
-    """``(block, row_index, model, y_true, y_pred)`` of every block, each with
-    a model of its own; a block without train rows predicts null.
-
-    ``members`` are read once a fit, so they should be written before.  The
-    fits of ``at_once`` blocks run side by side.
-    """
-    spark = members.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))  # boosting cuts its lineage there
-    fits = F.max(F.when((F.col("role") == "train") & F.col("y").isNotNull(), 1).otherwise(0))
-    listed = members.groupBy(block).agg(fits.alias("fits")).orderBy(block).limit(most + 1).collect()
-    if len(listed) > most:
-        raise ValueError(f"over {most} blocks")
-
-    def one(row) -> DataFrame:
-        own = members.filter(F.col(block).eqNullSafe(F.lit(row[block])))
-        if row["fits"]:
-            out = fit_predict(own, features, estimator.copy(), name)
-        else:
-            out = own.filter("role = 'test'").select("row_index", F.lit(name).alias("model"), F.col("y").alias("y_true"), F.lit(None).cast("double").alias("y_pred"))
-        return out.select(F.lit(row[block]).cast(members.schema[block].dataType).alias(block), "*")
-
-    if not listed:
-        kind = members.schema["row_index"].dataType.simpleString()
-        return spark.createDataFrame([], f"`{block}` {members.schema[block].dataType.simpleString()}, row_index {kind}, model string, y_true double, y_pred double")
-    pool = ThreadPool(min(at_once, len(listed)))
-    try:
-        parts = pool.map(inheritable_thread_target(spark)(one), listed, chunksize=1)
-    finally:
-        pool.close()
-    return reduce(DataFrame.unionByName, parts)
-
 
 def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns less their mean over their population deviation (1 if flat)."""
@@ -181,4 +115,4 @@ def best_so_far(log: DataFrame, by: Sequence[str], at: str, value: str, patience
     return best.withColumn("waited", F.col(at) - F.col("best_at")).withColumn("stop", F.col("waited") >= patience)
 
 
-__all__ = ["average_linkage", "best_so_far", "boosted", "cluster_entities", "fit_predict", "fit_predict_blocks", "forest", "nearest", "standardised"]
+__all__ = ["average_linkage", "best_so_far", "cluster_entities", "nearest", "standardised"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairaudit.functions import sequences
-from pairaudit.operators import models, resample, scoring, similarity, verify
+from pairaudit.operators import models, resample, scoring, similarity, trees, verify
 from pairaudit.plans.common import FOLDS_SQL, PAIRS_SQL, PANEL_SQL, RECORDS_SQL, REPEAT_SQL, finite_panel, folds, members, pairs, panel, r6, records
 from pairaudit.plans.curation_queries import _SIMILAR, _bits, _stated
 from pairaudit.plans.scoring_queries import _score_sql
@@ -16,26 +16,20 @@ from pairaudit.sources.catalog import table
 UNIT = ["split", "block_id", "model"]
 
 
-def _numeric_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = {f"{c}_code": F.pmod(F.xxhash64(c), F.lit(97)) for c in ("solvent", "ph", "source", "family")}
-    return members(spark, sf_dir).withColumns(coded)
-
-
 def forest_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forests on one side's features each: host, guest, conditions, source."""
-    # written once: it is read for each block and side
-    blocks, out = Materialized(spark, "members").write(_numeric_members(spark, sf_dir)), None
-    sides = {"host_only_RF": ["host"], "guest_only_RF": ["guest"], "cond_only_RF": ["solvent_code", "ph_code"], "source_only_RF": ["source_code"]}
+    # written once: it is read for each side
+    blocks, out = Materialized(spark, "members").write(members(spark, sf_dir)), None
+    sides = {"host_only_RF": ["host"], "guest_only_RF": ["guest"], "cond_only_RF": ["solvent", "ph"], "source_only_RF": ["source"]}
     for name, features in sides.items():
-        part = models.fit_predict_blocks(blocks, features, models.forest(), name)
+        part = trees.fit_blocks(blocks, features, trees.Forest(), name)
         out = part if out is None else out.unionByName(part)
     return scoring.guarded_scores(out, ["block_id", "model"]).select("block_id", "model", "n", "r2", "status")
 
 
 def boosted_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = ["host", "guest", "solvent_code", "ph_code", "source_code", "family_code"]
-    blocks = Materialized(spark, "members").write(_numeric_members(spark, sf_dir))
-    out = models.fit_predict_blocks(blocks, features, models.boosted(), "boosted")
+    blocks = Materialized(spark, "members").write(members(spark, sf_dir))
+    out = trees.fit_blocks(blocks, ["host", "guest", "solvent", "ph", "source", "family"], trees.Boosted(), "boosted")
     return scoring.guarded_scores(out, ["block_id", "model"]).select("block_id", "model", "n", "r2", "status")
 
 

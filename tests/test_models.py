@@ -8,8 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairaudit.functions import chem, sequences
-from pairaudit.operators import models, resample, verify
-from pairaudit.plans import model_queries
+from pairaudit.operators import models, resample, trees, verify
 
 
 def test_average_linkage_finds_blocks():
@@ -131,28 +130,58 @@ def test_chemistry_is_optional(spark):
     assert chem.with_heavy_atoms(df, "s").first().heavy == 3
 
 
-@pytest.mark.parametrize(("query", "kind", "names"), [("forest_nulls", "forest", 4), ("boosted_model", "boosted", 1)])
-def test_every_block_has_its_model(spark, monkeypatch, query, kind, names):
-    rng = random.Random(4)
-    rows = [(b, f"host_cold_{b}", i, "test" if i % 3 == b else "train", i % 5, i % 7, rng.random(), i % 2, i % 3, 1, 2) for b in range(3) for i in range(30)]
-    rows += [(3, "host_cold_3", 1, "test", 1, 1, 0.5, 0, 0, 0, 0)]  # nothing to fit
-    df = spark.createDataFrame(rows, "fold bigint, block_id string, row_index bigint, role string, host int, guest int, y double, solvent_code int, ph_code int, source_code int, family_code int")
-    asked, real = [], getattr(models, kind)
-
-    def small(**kw):
-        asked.append(kw)
-        return real(2, 2)
-
-    monkeypatch.setattr(model_queries, "_numeric_members", lambda *_: df)
-    monkeypatch.setattr(models, kind, small)
-    got = model_queries.QUERIES[query](spark, "").collect()
-    assert {r.block_id: r.n for r in got if r.block_id != "host_cold_3"} == {f"host_cold_{b}": 10 for b in range(3)}
-    assert len(got) == 4 * names
-    assert all(r.r2 is None for r in got if r.block_id == "host_cold_3")
-    assert asked == [{}] * names  # the sizes that are the default
-
-
-def test_models_have_the_sizes_of_the_survey():
-    forest, boosted = models.forest(), models.boosted()
-    assert (forest.getNumTrees(), forest.getFeatureSubsetStrategy()) == (300, "sqrt")
-    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize(), boosted.getSubsamplingRate()) == (600, 6, 0.05, 0.8)
+def slow_tree(x, w, y, depth, t):
+    """One regression tree by trying every cut, for one test row."""
+    mean, whole = (w * y).sum() / w.sum(), (w * y).sum() ** 2 / w.sum()
+    part = lambda m: (w[m] * y[m]).sum() ** 2 / w[m].sum()
+    cuts = [(part(x[:, f] <= c) + part(x[:, f] > c), f, c) for f in range(x.shape[1]) for c in np.unique(x[:, f])[:-1]]
+    if depth == 0 or not cuts or max(cuts)[0] <= whole + 1e-12:
+        return mean
+    _, f, c = max(cuts, key=lambda k: (k[0], -k[1], -k[2]))
+    side = (x[:, f] <= c) == (t[f] <= c)
+    return slow_tree(x[side], w[side], y[side], depth - 1, t)
+
+
+def test_tree_against_brute_force():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (60, 3))
+    w, y = rng.integers(1, 5, 60).astype(float), rng.normal(size=60)
+    test = rng.integers(0, 6, (40, 3))
+    for depth in (1, 2, 4):
+        got = trees._tree(x, w, w * y, test, 6, depth, 3, rng)
+        assert np.allclose(got[1], [slow_tree(x, w, y, depth, t) for t in test])
+        assert np.allclose(got[0], [slow_tree(x, w, y, depth, t) for t in x])
+
+
+def test_cells_say_what_rows_say():
+    """Boosting without subsampling on rows and on their cells is the same."""
+    rng = np.random.default_rng(4)
+    rows = rng.integers(0, 4, (500, 2))
+    y = rows[:, 0] * 2.0 - rows[:, 1] + rng.normal(size=500)
+    cells, inverse = np.unique(rows, axis=0, return_inverse=True)
+    n, total = np.bincount(inverse), np.bincount(inverse, y)
+    model = trees.Boosted(rounds=30, subsample=1.0)
+    assert np.allclose(model.fit_predict(rows, np.ones(500, dtype=int), y, cells, 4), model.fit_predict(cells, n, total, cells, 4))
+
+
+def test_models_learn_each_block(spark):
+    rng = random.Random(5)
+    effect = {h: rng.uniform(-3, 3) for h in range(30)}
+    rows = [(b, i, "test" if i % 4 == b else "train", h := rng.randrange(30), rng.choice("ab"), effect[h] * (1 if b == 0 else -1) + rng.gauss(0, 0.1)) for b in (0, 1) for i in range(1200)]
+    rows += [(0, 5000, "test", 99, None, 1.0), (0, 5001, "train", 3, "a", None), (2, 1, "test", 1, "a", 0.5)]
+    df = spark.createDataFrame(rows, "block_id int, row_index bigint, role string, host bigint, side string, y double")
+    for model in (trees.Forest(trees=30), trees.Boosted(rounds=200)):
+        out = trees.fit_blocks(df, ["host", "side"], model, "m").collect()
+        assert len(out) == sum(r[2] == "test" for r in rows)
+        assert [r.y_pred for r in out if r.block_id == 2] == [None]
+        for b in (0, 1):
+            y, p = zip(*[(r.y_true, r.y_pred) for r in out if r.block_id == b and r.row_index < 5000], strict=True)
+            y, p = np.array(y), np.array(p)
+            assert 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum() > 0.9
+        assert sorted(map(tuple, out), key=str) == sorted(map(tuple, trees.fit_blocks(df, ["host", "side"], model, "m").collect()), key=str)
+    assert trees.fit_blocks(df.limit(0), ["host"], trees.Forest(), "m").count() == 0
+
+
+def test_survey_sizes():
+    forest, boosted = trees.Forest(), trees.Boosted()
+    assert (forest.trees, boosted.rounds, boosted.depth, boosted.rate, boosted.subsample) == (300, 600, 6, 0.05, 0.8)
