@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes"), ("false", "0", "no")
+# The two dialects of booleans, words of true and words of false.
+MASK_WORDS = (("true", "1"), ("false", "0"))
+TABLE_WORDS = (("1", "true", "yes", "y"), ("0", "false", "no", "n", ""))
 
 
-def parse_bool(c: Column, blank_is_false: bool = False, strict: bool = True) -> Column:
-    """Text as boolean; other text raises (or is null when not strict)."""
-    word = F.lower(F.trim(c))
-    false = [*FALSE_WORDS, *([""] if blank_is_false else [])]
+def parse_bool(c: Column, words: tuple[Sequence[str], Sequence[str]] = TABLE_WORDS, strict: bool = True) -> Column:
+    """Text as boolean, in lower case; other text raises (or is null when not
+    strict).  Table cells are trimmed and a blank or null one is false; mask
+    cells must be one of the four words as they are."""
+    word = F.lower(c)
+    if "" in words[1]:
+        word = F.coalesce(F.trim(word), F.lit(""))
     other = F.raise_error(F.concat(F.lit("not a boolean: "), F.coalesce(c, F.lit("null")))) if strict else F.lit(None)
-    if blank_is_false:
-        word = F.coalesce(word, F.lit(""))
-    return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*false), F.lit(False)).otherwise(other.cast("boolean"))
+    return F.when(word.isin(*words[0]), F.lit(True)).when(word.isin(*words[1]), F.lit(False)).otherwise(other.cast("boolean"))
 
 
 def parse_index(c: Column) -> Column:
@@ -37,16 +40,11 @@ def first_match(rules: Sequence[tuple[Column, str]], otherwise: str | None = Non
     return out.otherwise(otherwise)
 
 
-def contains_ladder(c: Column, ladder: Mapping[str, Sequence[str]], otherwise: str) -> Column:
-    """First class one of whose keywords occurs, case ignored."""
+def pattern_ladder(c: Column, ladder: Sequence[tuple[str, str]], otherwise: str) -> Column:
+    """First class whose pattern is found, case ignored; words and digits are
+    those of Unicode."""
     low = F.lower(c)
-    rules = []
-    for label, words in ladder.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | low.contains(w)
-        rules.append((F.coalesce(hit, F.lit(False)), label))
-    return first_match(rules, otherwise)
+    return first_match([(F.coalesce(low.rlike("(?U)" + pattern), F.lit(False)), label) for label, pattern in ladder], otherwise)
 
 
 def join_reasons(*reasons: Column, sep: str = " | ") -> Column:

@@ -9,16 +9,32 @@ from pyspark.sql import functions as F
 
 from pairaudit.functions.text import first_match
 
-# Keyword ladders of the published host classes and families.
-HOST_CLASSES = {
-    "cucurbituril": ("cucurbit", "cb[", "curcubit"),
-    "cyclodextrin": ("cyclodextrin", "-cd"),
-    "calixarene": ("calix",),
-    "pillararene": ("pillar",),
-    "cavitand": ("cavitand", "resorcin"),
-    "crown": ("crown",),
-    "cage": ("cage", "cryptane"),
-}
+# The published ladders of host classes and of host families, as
+# (label, pattern of the name in lower case); the first that matches counts.
+HOST_CLASSES = (
+    ("protein (HSA)", r"serum albumin|^\s*hsa\s*$"),
+    ("inorganic zeolite", r"zeolite"),
+    ("mechanically interlocked (rotaxane)", r"rotaxane"),
+    ("pillararene (SMILES not shipped)", r"pillar"),
+    ("calixarene (SMILES not shipped)", r"calix"),
+    ("functionalized cucurbituril (SMILES not shipped)", r"cucurbit|cb\[|cb6|cb8"),
+    ("cyclodextrin (SMILES not shipped)", r"cyclodext"),
+)
+OTHER_CLASS = "other (SMILES not shipped)"
+FAMILIES = (
+    ("cucurbituril", r"cucurbit|\bcb\s*\[?\d"),
+    ("cyclodextrin", r"cyclodext|\b[abgαβγ]-?cd\b"),
+    ("calixarene", r"calix"),
+    ("pillararene", r"pillar"),
+    ("cavitand", r"cavitand"),
+    ("cyclophane", r"cyclophane"),
+    ("crown_ether", r"crown"),
+)
+# Names of families that the gate for calixarenes blocks.
+BLOCKED_FAMILY_WORDS = (
+    "pillar", "cucurbit", "cyclodextrin", "bambus", "tweezer", "cyclophane", "naphthotube", "glycoluril", "crown", "cryptand",
+    "cryptophane", "corral", "oxatub", "zorb", "exbox", "sugammadex", "viologen", "paraquat", "positand",
+)
 
 
 def size_code(text: Column) -> Column:

@@ -61,11 +61,13 @@ def classify(host_seen: Column, guest_seen: Column, pair_seen: Column) -> Column
 
 
 def retained(split: Column, host_seen: Column, guest_seen: Column) -> Column:
-    """Whether a test row keeps what its split protects."""
+    """Whether a test row keeps what its split protects; any other split is an
+    error."""
     return (
         F.when(split == "host_cold", ~host_seen)
         .when(split == "guest_cold", ~guest_seen)
         .when(split == "double_cold", ~host_seen & ~guest_seen)
+        .otherwise(F.raise_error(F.concat(F.lit("unsupported split: "), F.coalesce(split, F.lit("null")))).cast("boolean"))
     )
 
 

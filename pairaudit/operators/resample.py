@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import comb
+from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
@@ -11,54 +11,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_EXACT = 20
+#: Deltas up to which a signed-rank test counts all sign patterns.
+MAX_EXACT = 50
 
 
 def exact_wilcoxon(deltas: DataFrame, by: Sequence[str], value: str = "margin") -> DataFrame:
-    """``(*by, n, w, p_value)``: signed-rank test by all sign patterns.
+    """``(*by, n, w, p_value)``: signed-rank test by all sign patterns, for
+    units of over ``MAX_EXACT`` deltas by the normal approximation.
 
     Zeros are dropped and tied magnitudes share their average rank.  Patterns
-    double with each delta, so units of more than ``MAX_EXACT`` deltas get a
-    null p-value.
+    are counted by their rank sum, one delta after the other, so a unit costs
+    the square of its deltas.  Only small units are ranked in one place.
     """
     by = list(by)
-    used = deltas.filter(F.col(value).isNotNull() & (F.col(value) != 0)).withColumn("__a", F.abs(F.col(value)))
-    unit = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    tie = W.partitionBy(*by, "__a")
-    ranked = used.withColumn("__r", F.rank().over(unit.orderBy("__a")) + (F.count("*").over(tie) - 1) / 2)
-    folded = ranked.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.sum(F.when(F.col(value) > 0, F.col("__r")).otherwise(0.0)).alias("plus"),
-        F.sum(F.when(F.col(value) < 0, F.col("__r")).otherwise(0.0)).alias("minus"),
-        F.collect_list("__r").alias("ranks"),
-    )
-    small = F.col("n") <= MAX_EXACT
-    total = F.aggregate("ranks", F.lit(0.0), lambda a, r: a + r)
-    ranks = F.when(small, F.col("ranks")).otherwise(F.array().cast("array<double>"))
-    patterns = folded.withColumn("w", F.least("plus", "minus")).withColumn("__total", total).withColumn("__ranks", ranks)
-    each = patterns.withColumn("__s", F.explode(F.expr(f"sequence(0L, cast(pow(2, least(n, {MAX_EXACT})) as bigint) - 1L)")))
-    plus = F.expr("aggregate(__ranks, named_struct('i', 0, 's', 0.0D), (a, r) -> named_struct('i', a.i + 1, 's', a.s + r * ((shiftright(__s, a.i)) & 1L)), a -> a.s)")
-    return (
-        each.withColumn("__p", plus)
-        .groupBy(*by, "n", "w")
-        .agg(F.avg((F.least("__p", F.col("__total") - F.col("__p")) <= F.col("w") + 1e-12).cast("double")).alias("p_value"))
-        .withColumn("p_value", F.when(F.col("n") <= MAX_EXACT, F.col("p_value")))
+    unit = by or ["__unit"]
+    used = deltas.filter(F.col(value).isNotNull() & (F.col(value) != 0)).withColumn("__unit", F.lit(0))
+    counted = used.groupBy(*unit).agg(F.count("*").alias("n"))
+    small = counted.filter(F.col("n") <= MAX_EXACT)
+    keep = [*unit, F.abs(F.col(value)).alias("__a"), (F.col(value) > 0).alias("__up")]
+    whole, tie = W.partitionBy(*unit), W.partitionBy(*unit, "__a")
+    ranked = used.select(*keep).join(small, unit, "left_semi")
+    ranked = ranked.withColumn("__r", 2 * F.rank().over(whole.orderBy("__a")) + F.count("*").over(tie) - 1)
+    folded = ranked.groupBy(*unit).agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("__up"), F.col("__r")).otherwise(0)).alias("__plus"), F.collect_list("__r").alias("__ranks")
     )
 
-
-def exact_sign_test(deltas: DataFrame, by: Sequence[str], value: str = "margin", most: int = 1000) -> DataFrame:
-    """``(*by, n, n_positive, p_value)``: two-sided binomial test at 1/2."""
+    @F.pandas_udf("double")
+    def p_value(ranks: pd.Series, plus: pd.Series) -> pd.Series:
+        def one(doubled: np.ndarray, up: int) -> float:
+            total = int(doubled.sum())
+            patterns = np.zeros(total + 1)
+            patterns[0] = 1.0
+            for r in sorted(doubled):
+                patterns[r:] += patterns[: total + 1 - r].copy()
+            sums = np.arange(total + 1)
+            w = min(up, total - up)
+            return float(patterns[np.minimum(sums, total - sums) <= w].sum() / patterns.sum())
+
+        return pd.Series([one(np.asarray(r, dtype=np.int64), int(u)) for r, u in zip(ranks, plus, strict=True)], dtype="float64")
+
+    total = F.aggregate("__ranks", F.lit(0).cast("bigint"), lambda a, r: a + r)
+    exact = folded.select(*by, "n", (F.least(F.col("__plus"), total - F.col("__plus")) / 2).alias("w"), p_value("__ranks", "__plus").alias("p_value"))
+    large = used.join(counted.filter(F.col("n") > MAX_EXACT), unit, "left_semi")
+    return exact.unionByName(normal_wilcoxon(large, unit, value).select(*by, "n", "w", "p_value"))
+
+
+def exact_sign_test(deltas: DataFrame, by: Sequence[str], value: str = "margin") -> DataFrame:
+    """``(*by, n, n_positive, p_value)``: two-sided binomial test at 1/2.
+
+    The tail is summed from its greatest term down until nothing is added, so
+    units of any size are exact to rounding.
+    """
     counted = deltas.filter(F.col(value).isNotNull() & (F.col(value) != 0)).groupBy(*by).agg(
         F.count("*").alias("n"), F.count_if(F.col(value) > 0).alias("n_positive")
     )
 
     @F.pandas_udf("double")
     def p_value(n: pd.Series, positive: pd.Series) -> pd.Series:
-        def one(n: int, k: int) -> float | None:
-            if n > most:
-                return None
-            tail = sum(comb(n, i) for i in range(min(k, n - k) + 1))
-            return min(1.0, 2 * tail / 2**n)
+        def one(n: int, k: int) -> float:
+            k = min(k, n - k)
+            ratio, tail, i = 1.0, 0.0, k
+            while i >= 0 and ratio > tail * 1e-17:
+                tail += ratio
+                ratio *= i / (n - i + 1)
+                i -= 1
+            return min(1.0, 2 * tail * exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * log(2)))
 
         return pd.Series([one(int(a), int(b)) for a, b in zip(n, positive, strict=True)], dtype="float64")
 

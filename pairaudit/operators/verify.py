@@ -67,15 +67,16 @@ def misaligned(a: DataFrame, b: DataFrame, keys: Sequence[str], identity: Sequen
 def _cells_differ(a: Column, b: Column, dtype: T.DataType, ulps: int) -> Column:
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         x, y = F.when(finite(a), a.cast("double")), F.when(finite(b), b.cast("double"))
-        return ~within_ulps(x, y, ulps)
+        infinite = F.abs(a) == float("inf"), F.abs(b) == float("inf")
+        return F.when(F.coalesce(infinite[0], F.lit(False)) | F.coalesce(infinite[1], F.lit(False)), ~a.eqNullSafe(b)).otherwise(~within_ulps(x, y, ulps))
     return ~a.eqNullSafe(b)
 
 
 def frame_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str], ulps: int = 8) -> DataFrame:
     """``(column, n_compared, n_differ)`` over shared keys, and under the
     column ``*row*`` the keys of one side only.  Numbers compare within
-    ``ulps`` of the expected value, undefined (null, NaN, infinite) equals
-    undefined."""
+    ``ulps`` of the expected value, undefined (null, NaN) equals undefined,
+    and an infinity equals itself."""
     left = a.select(*keys, *[F.col(c).alias(f"__a_{c}") for c in columns], F.lit(1).alias("__ina"))
     right = b.select(*keys, *[F.col(c).alias(f"__b_{c}") for c in columns], F.lit(1).alias("__inb"))
     joined = left.join(right, list(keys), "full")

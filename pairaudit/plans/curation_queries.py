@@ -29,12 +29,12 @@ def curated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def excluded_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excluded records per host class: counts, distinct names."""
     kept = curation.curate(records(spark, sf_dir), "host_smiles", "host_name").filter("NOT valid")
-    label = text.contains_ladder(F.coalesce("host_name", F.lit("")), curation.HOST_CLASSES, "other")
+    label = text.pattern_ladder(F.coalesce("host_name", F.lit("")), curation.HOST_CLASSES, curation.OTHER_CLASS)
     return kept.groupBy(label.alias("host_class"), "reason").agg(F.count("*").alias("n"), F.countDistinct("host_name").alias("n_names"))
 
 
 def class_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = text.contains_ladder(F.coalesce("host_name", F.lit("")), curation.HOST_CLASSES, "other")
+    label = text.pattern_ladder(F.coalesce("host_name", F.lit("")), curation.HOST_CLASSES, curation.OTHER_CLASS)
     mega = F.coalesce(F.lower("host_name").rlike("cyclodextrin|cucurbit"), F.lit(False))
     ring = F.regexp_extract(F.coalesce("host_name", F.lit("")), r"\[(\d+)\]", 1)
     out = records(spark, sf_dir).select(label.alias("host_class"), mega.alias("mega"), ring.alias("ring"), "y")
@@ -58,12 +58,14 @@ def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised variants of each name field."""
     names = table(spark, sf_dir, "host_id_map").select("host_id", "host_names").distinct()
     tokens = text.name_tokens(F.coalesce("host_names", F.lit("")))
-    return names.select("host_id", F.size(tokens).alias("n_variants"), F.array_join(tokens, "; ").alias("variants"), F.exists(tokens, lambda t: t.contains("calix")).alias("any_calix"))
+    calix = F.exists(tokens, lambda t: t.contains("calix") | (t.contains("resorcin") & t.contains("arene")))
+    blocked = F.exists(tokens, lambda t: F.forall(F.array(*map(F.lit, curation.BLOCKED_FAMILY_WORDS)), lambda w: ~t.contains(w)) == F.lit(False))
+    return names.select("host_id", F.size(tokens).alias("n_variants"), F.array_join(tokens, "; ").alias("variants"), calix.alias("any_calix"), blocked.alias("blocked"))
 
 
 def name_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose name says one family and whose family says another."""
-    label = text.contains_ladder(F.coalesce("host_name", F.lit("")), curation.HOST_CLASSES, "other")
+    label = text.pattern_ladder(F.coalesce("host_name", F.lit("")), curation.FAMILIES, "other")
     rows = records(spark, sf_dir).filter("family IS NOT NULL").select(label.alias("named"), "family")
     status = F.when(F.col("named") == "other", "NO_NAME_EVIDENCE").when(F.col("named") == F.col("family"), "AGREES").otherwise("CONFLICT")
     return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
@@ -82,11 +84,18 @@ def strict_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids as canonical integers, roles as booleans, one-axis exclusivity."""
     f = table(spark, sf_dir, "folds_host_canonical")
     index = text.parse_index(F.col("guest_id"))
-    is_test = text.parse_bool(F.when(F.lower(F.trim("role")) == "test", "yes").otherwise("0"))
+    is_test = text.parse_bool(F.lower(F.trim("role")).isin("test").cast("string"), text.MASK_WORDS)
     one_axis = text.blank(F.col("canonical_guest_sha256")) != text.blank(F.col("canonical_host_sha256"))
     return f.groupBy(index.isNotNull().alias("known_guest"), is_test.alias("is_test"), one_axis.alias("one_axis")).agg(F.count("*").alias("n"))
 
 
+def parsed_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of three columns under both dialects of booleans."""
+    r = table(spark, sf_dir, "host_id_map").select(F.explode(F.array(F.col("n_host_names").cast("string"), F.col("deleted_at").isNull().cast("string"), "host_names", F.lit(" Y "))).alias("cell"))
+    a, b = text.parse_bool(F.col("cell"), text.TABLE_WORDS, strict=False), text.parse_bool(F.col("cell"), text.MASK_WORDS, strict=False)
+    return r.groupBy(a.alias("of_table"), b.alias("of_mask")).agg(F.count("*").alias("n"))
+
+
 def nonfinite_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nonfinite_tokens(table(spark, sf_dir, "predictions"), ["y_true", "y_pred", "host_id", "seed"])
 
@@ -259,7 +268,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         curation_reasons, curated_records, excluded_summary, class_ladder, two_track_manifest, token_count_distribution,
-        name_variants, name_conflicts, joined_reasons, strict_parses, nonfinite_cells, missing_shares, replicate_spread,
+        name_variants, name_conflicts, joined_reasons, strict_parses, parsed_booleans, nonfinite_cells, missing_shares, replicate_spread,
         sigma_decomposition, cross_condition_groups, describe_target, pair_features, entity_names, condition_features,
         bit_counts, nearest_vectors, knn_predictions, similarity_strata, validated_lookup, duplicate_keys,
         multiset_difference, frame_diff, misaligned_rows, repeat_report, roster_check, reference_cycle, order_check,
@@ -274,13 +283,20 @@ def _code(c: str) -> str:
     ELSE len(regexp_extract_all(trim({c}), 'Cl|Br|[BCNOPSFI]|[cnops]')) END"""
 
 
-def _ladder(c: str) -> str:
-    rules = " ".join(
-        f"WHEN {' OR '.join(f'contains(lower({c}), {w!r})' for w in words)} THEN '{label}'" for label, words in curation.HOST_CLASSES.items()
-    )
-    return f"CASE {rules} ELSE 'other' END"
-
-
+# the published ladders, written out apart from the operator's own patterns
+_CLASS = """CASE WHEN contains(n, 'serum albumin') OR trim(n) = 'hsa' THEN 'protein (HSA)'
+  WHEN contains(n, 'zeolite') THEN 'inorganic zeolite'
+  WHEN contains(n, 'rotaxane') THEN 'mechanically interlocked (rotaxane)'
+  WHEN contains(n, 'pillar') THEN 'pillararene (SMILES not shipped)'
+  WHEN contains(n, 'calix') THEN 'calixarene (SMILES not shipped)'
+  WHEN contains(n, 'cucurbit') OR contains(n, 'cb[') OR contains(n, 'cb6') OR contains(n, 'cb8') THEN 'functionalized cucurbituril (SMILES not shipped)'
+  WHEN contains(n, 'cyclodext') THEN 'cyclodextrin (SMILES not shipped)'
+  ELSE 'other (SMILES not shipped)' END"""
+_FAMILY = r"""CASE WHEN contains(n, 'cucurbit') OR regexp_matches(n, '(^|[^\p{L}\p{N}_])cb\s*\[?\p{Nd}') THEN 'cucurbituril'
+  WHEN contains(n, 'cyclodext') OR regexp_matches(n, '(^|[^\p{L}\p{N}_])[abgαβγ]-?cd($|[^\p{L}\p{N}_])') THEN 'cyclodextrin'
+  WHEN contains(n, 'calix') THEN 'calixarene' WHEN contains(n, 'pillar') THEN 'pillararene' WHEN contains(n, 'cavitand') THEN 'cavitand'
+  WHEN contains(n, 'cyclophane') THEN 'cyclophane' WHEN contains(n, 'crown') THEN 'crown_ether' ELSE 'other' END"""
+_NAMED = "(SELECT *, lower(coalesce(host_name, '')) AS n FROM {0})"
 _REASON = "CASE WHEN h = 0 THEN 'host_empty' WHEN h = -1 THEN 'host_missing' WHEN h = -2 THEN 'host_unreadable' WHEN g = 0 THEN 'guest_empty' WHEN g = -1 THEN 'guest_missing' WHEN g = -2 THEN 'guest_unreadable' END"
 _CURATED = RECORDS_SQL + f""", c AS (SELECT *, {_code("host_smiles")} AS h, {_code("host_name")} AS g FROM records),
 v AS (SELECT *, h >= 1 AND g >= 1 AS valid, CASE WHEN NOT (h >= 1 AND g >= 1) THEN {_REASON} END AS reason FROM c)"""
@@ -296,17 +312,17 @@ _TWO = "WITH " + PANEL_SQL + ", " + REPEAT_SQL + """, two AS (
     a.host_id AS ha, b.host_id AS hb, a.guest_id AS ga, b.guest_id AS gb, a.row_index IS NOT NULL AND b.row_index IS NOT NULL AS shared
   FROM panel a FULL JOIN repeat_panel b USING (split, block_id, model, row_index))"""
 _ULP = "pow(2, floor(log2(greatest(abs({0}), 1e-300))) - 52)"
-_YA, _YB = ("CASE WHEN isfinite({0}) THEN {0} END".format(c) for c in ("ya", "yb"))
+_YA, _YB = ("CASE WHEN NOT isnan({0}) THEN {0} END".format(c) for c in ("ya", "yb"))
 
 ORACLE = {
     "curation_reasons": f"""SELECT axis, CASE code WHEN 0 THEN 'empty' WHEN -1 THEN 'missing' WHEN -2 THEN 'unreadable' ELSE 'kept' END AS reason,
       count(*) AS n, CAST(sum(code) AS BIGINT) AS checksum FROM (SELECT axis, {_code("parent_key")} AS code FROM identity_entry) GROUP BY 1, 2""",
     "curated_records": "WITH " + _CURATED + " SELECT valid, reason, count(*) AS n, min(row_index) AS first_row FROM v GROUP BY 1, 2",
-    "excluded_summary": "WITH " + _CURATED + f""" SELECT {_ladder("coalesce(host_name, '')")} AS host_class, reason, count(*) AS n,
-      count(DISTINCT host_name) AS n_names FROM v WHERE NOT valid GROUP BY 1, 2""",
-    "class_ladder": "WITH " + RECORDS_SQL + f""" SELECT {_ladder("coalesce(host_name, '')")} AS host_class,
+    "excluded_summary": "WITH " + _CURATED + f""" SELECT {_CLASS} AS host_class, reason, count(*) AS n,
+      count(DISTINCT host_name) AS n_names FROM {_NAMED.format("v")} WHERE NOT valid GROUP BY 1, 2""",
+    "class_ladder": "WITH " + RECORDS_SQL + f""" SELECT {_CLASS} AS host_class,
       coalesce(regexp_matches(lower(host_name), 'cyclodextrin|cucurbit'), false) AS mega,
-      regexp_extract(coalesce(host_name, ''), '\\[(\\d+)\\]', 1) AS ring, count(*) AS n, round(avg(y), 6) AS mean_y FROM records GROUP BY 1, 2, 3""",
+      regexp_extract(coalesce(host_name, ''), '\\[(\\d+)\\]', 1) AS ring, count(*) AS n, round(avg(y), 6) AS mean_y FROM {_NAMED.format('records')} GROUP BY 1, 2, 3""",
     "two_track_manifest": "WITH " + RECORDS_SQL + f""", c AS (SELECT *, {_code("host_smiles")} AS h, {_code("guest_smiles")} AS g FROM records)
       SELECT CASE WHEN h >= 1 AND g >= 1 AND host_name IS NOT NULL THEN 'structure_and_name' WHEN h >= 1 AND g >= 1 THEN 'structure' ELSE 'name' END AS track,
         h < 6 AS small, count(*) AS n, CAST(sum(row_index) AS BIGINT) AS checksum FROM c GROUP BY 1, 2""",
@@ -316,14 +332,18 @@ ORACLE = {
       v AS (SELECT host_id, list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(host_names, ''), '|'),
         lambda x: lower(trim(x))), lambda x: x <> ''))) AS a FROM t)
       SELECT host_id, CAST(len(a) AS INTEGER) AS n_variants, array_to_string(a, '; ') AS variants,
-        len(list_filter(a, lambda x: contains(x, 'calix'))) > 0 AS any_calix FROM v""",
-    "name_conflicts": "WITH " + RECORDS_SQL + f""", l AS (SELECT family, {_ladder("coalesce(host_name, '')")} AS named FROM records WHERE family IS NOT NULL)
+        len(list_filter(a, lambda x: contains(x, 'calix') OR (contains(x, 'resorcin') AND contains(x, 'arene')))) > 0 AS any_calix,
+        len(list_filter(a, lambda x: regexp_matches(x, 'pillar|cucurbit|cyclodextrin|bambus|tweezer|cyclophane|naphthotube|glycoluril|crown|cryptand|cryptophane|corral|oxatub|zorb|exbox|sugammadex|viologen|paraquat|positand'))) > 0 AS blocked FROM v""",
+    "name_conflicts": "WITH " + RECORDS_SQL + f""", l AS (SELECT family, {_FAMILY} AS named FROM {_NAMED.format("records")} WHERE family IS NOT NULL)
       SELECT CASE WHEN named = 'other' THEN 'NO_NAME_EVIDENCE' WHEN named = family THEN 'AGREES' ELSE 'CONFLICT' END AS status, count(*) AS n FROM l GROUP BY 1""",
     "joined_reasons": "WITH " + RECORDS_SQL + """ SELECT concat_ws(' | ', CASE WHEN host_name IS NULL THEN 'no name' END, CASE WHEN source IS NULL THEN 'no source' END,
       CASE WHEN y IS NULL THEN 'no target' END, CASE WHEN lower(temp_bucket) = 'unknown' THEN 'temperature unknown' END) AS reasons, count(*) AS n FROM records GROUP BY 1""",
     "strict_parses": """SELECT coalesce(regexp_full_match(guest_id, '0|[1-9][0-9]*'), false) AS known_guest, lower(trim(role)) = 'test' AS is_test,
       (coalesce(trim(canonical_guest_sha256), '') = '') <> (coalesce(trim(canonical_host_sha256), '') = '') AS one_axis, count(*) AS n
       FROM folds_host_canonical GROUP BY 1, 2, 3""",
+    "parsed_booleans": """WITH c AS (SELECT unnest([CAST(n_host_names AS VARCHAR), CAST(deleted_at IS NULL AS VARCHAR), host_names, ' Y ']) AS cell FROM host_id_map)
+      SELECT CASE WHEN lower(trim(cell)) IN ('1', 'true', 'yes', 'y') THEN true WHEN cell IS NULL OR lower(trim(cell)) IN ('0', 'false', 'no', 'n', '') THEN false END AS of_table,
+        CASE WHEN lower(cell) IN ('true', '1') THEN true WHEN lower(cell) IN ('false', '0') THEN false END AS of_mask, count(*) AS n FROM c GROUP BY 1, 2""",
     "nonfinite_cells": """SELECT 'y_true' AS "column", count(*) AS n_rows, count(*) FILTER (WHERE NOT isfinite(y_true)) AS n_nonfinite FROM predictions
       UNION ALL SELECT 'y_pred', count(*), count(*) FILTER (WHERE NOT isfinite(y_pred)) FROM predictions
       UNION ALL SELECT 'host_id', count(*), 0 FROM predictions UNION ALL SELECT 'seed', count(*), 0 FROM predictions""",
@@ -367,7 +387,7 @@ ORACLE = {
            AND EXISTS (SELECT 1 FROM repeat_panel p WHERE p.split = t.split AND p.block_id = t.block_id AND p.model = t.model AND p.row_index = t.row_index) AS shared FROM two t)
       UNION ALL SELECT 'host_id', count(*), count(*) FILTER (WHERE a.host_id IS DISTINCT FROM b.host_id) FROM panel a JOIN repeat_panel b USING (split, block_id, model, row_index)
       UNION ALL SELECT 'guest_id', count(*), count(*) FILTER (WHERE a.guest_id IS DISTINCT FROM b.guest_id) FROM panel a JOIN repeat_panel b USING (split, block_id, model, row_index)
-      UNION ALL SELECT 'y_true', count(*), count(*) FILTER (WHERE (ya IS NULL) <> (yb IS NULL) OR abs(ya - yb) > 8 * {_ULP.format("yb")}) FROM (
+      UNION ALL SELECT 'y_true', count(*), count(*) FILTER (WHERE (ya IS NULL) <> (yb IS NULL) OR CASE WHEN isinf(ya) OR isinf(yb) THEN ya <> yb ELSE abs(ya - yb) > 8 * {_ULP.format("yb")} END) FROM (
         SELECT {_YA.replace("ya", "a.y_true")} AS ya, {_YB.replace("yb", "b.y_true")} AS yb FROM panel a JOIN repeat_panel b USING (split, block_id, model, row_index))""",
     "misaligned_rows": """WITH a AS (SELECT split, block_id, model, row_index, count(*) AS na, min(fold_index) AS fa FROM predictions GROUP BY ALL),
       b AS (SELECT split, block_id, model, row_index, count(*) AS nb, min(fold_index) AS fb FROM predictions_repeat GROUP BY ALL)

@@ -251,6 +251,17 @@ flags AS (SELECT *, CASE WHEN p THEN 'same_pair_seen' WHEN h AND g THEN 'both_se
 _CLASSES = ", ".join(f"('{c}')" for c in identity.CLASSES)
 
 ORACLE = {
+    "group_folds": "WITH RECURSIVE "
+    + FOLDS_SQL
+    + """, g AS (SELECT host, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, host NULLS FIRST) AS place
+      FROM (SELECT DISTINCT row_index, host FROM folds) GROUP BY host),
+    dealt AS (
+      SELECT CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS host, CAST(0 AS BIGINT) AS n, 0 AS fold, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS loads
+      UNION ALL
+      SELECT g.place, g.host, g.n, CAST(list_position(loads, list_min(loads)) AS INTEGER),
+        list_transform(range(1, 6), lambda i: loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN g.n ELSE 0 END)
+      FROM dealt JOIN g ON g.place = dealt.place + 1)
+    SELECT host, n, fold - 1 AS fold FROM dealt WHERE place > 0""",
     "pair_rows": "WITH "
     + PAIRS_SQL
     + """, n AS (SELECT *, row_number() OVER (ORDER BY guest, host, cond2, source, cond1, y) - 1 AS row_index FROM pairs),

@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairaudit.plans import core_problems, curation_queries, membership_queries, model_queries, scoring_queries
+from pairaudit.plans import core_problems, curation_queries, membership_queries, model_queries, scoring_queries, source_queries
 
-MODULES: list[ModuleType] = [core_problems, scoring_queries, membership_queries, curation_queries, model_queries]
+MODULES: list[ModuleType] = [core_problems, scoring_queries, membership_queries, curation_queries, model_queries, source_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

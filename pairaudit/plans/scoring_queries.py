@@ -150,7 +150,14 @@ def host_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oof_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = baselines.oof_encoded_ridge(members(spark, sf_dir), ["block_id"])
-    return scoring.guarded_scores(rows, ["block_id"]).select("block_id", "n", "r2", "status")
+    return scoring.guarded_scores(rows, ["block_id"]).select("block_id", "n", r6("r2").alias("r2"), "status")
+
+
+def winner_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks whose strongest null is another one without the additive null."""
+    scored = scoring.guarded_scores(null_panel(spark, sf_dir).filter("model <> 'additive'"), ["block_id", "model"])
+    fewer = compare.strongest_null(scored.withColumn("r2", F.round("r2", 9)), ["block_id"], [m for m in NULLS if m != "additive"])
+    return compare.changed_winners(_best(spark, sf_dir), fewer, ["block_id"])
 
 
 def bias_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +209,7 @@ QUERIES = {
     for f in (
         guarded_scores, finite_scores, score_contracts, block_and_pooled, spearman_scores, spearman_large, null_scores,
         strongest_null, margins, equal_block, weighted_block, across_seeds, wide_scores, exact_tests, leave_two_out,
-        leave_two_out_least, block_bootstrap, host_bootstrap, oof_ridge, bias_share, sse_share, top_errors,
+        leave_two_out_least, block_bootstrap, host_bootstrap, oof_ridge, winner_changes, bias_share, sse_share, top_errors,
         target_agreement, mask_sensitivity,
     )
 }
@@ -370,6 +377,35 @@ ORACLE = {
     )
     + """, round(max(raw) FILTER (WHERE model IN ('additive', 'additive_sum', 'guest_mean', 'host_mean', 'source_mean')), 6) AS greatest
     FROM null_scores GROUP BY block_id""",
+    "oof_ridge": "WITH "
+    + MEMBERS_SQL
+    + """, k AS (SELECT *, row_index * 48271 % 65537 % 5 AS f FROM members WHERE role = 'train'),
+    o AS (SELECT block_id, sum(y) AS s, count(*) AS n, avg(y) AS mean FROM k GROUP BY 1),
+    mu AS (SELECT i.block_id, f, (o.s - i.s) / (o.n - i.n) AS mu FROM (SELECT block_id, f, sum(y) AS s, count(*) AS n FROM k GROUP BY 1, 2) i JOIN o USING (block_id)),
+    h AS (SELECT block_id, host, sum(y) AS s, count(*) AS n FROM k GROUP BY 1, 2),
+    hf AS (SELECT block_id, host, f, sum(y) AS s, count(*) AS n FROM k GROUP BY 1, 2, 3),
+    g AS (SELECT block_id, coalesce(guest, -1) AS guest, sum(y) AS s, count(*) AS n FROM k GROUP BY 1, 2),
+    gf AS (SELECT block_id, coalesce(guest, -1) AS guest, f, sum(y) AS s, count(*) AS n FROM k GROUP BY 1, 2, 3),
+    t AS (SELECT k.block_id, k.y - o.mean AS r, (h.s - hf.s + 5 * mu) / (h.n - hf.n + 5) AS x1, (g.s - gf.s + 5 * mu) / (g.n - gf.n + 5) AS x2
+          FROM k JOIN o USING (block_id) JOIN mu USING (block_id, f) JOIN h USING (block_id, host) JOIN hf USING (block_id, host, f)
+          JOIN g ON g.block_id = k.block_id AND g.guest = coalesce(k.guest, -1)
+          JOIN gf ON gf.block_id = k.block_id AND gf.guest = coalesce(k.guest, -1) AND gf.f = k.f),
+    m AS (SELECT block_id, avg(x1) AS m1, avg(x2) AS m2, avg(r) AS mr, var_pop(x1) * count(*) + 1 AS c11, var_pop(x2) * count(*) + 1 AS c22,
+            covar_pop(x1, x2) * count(*) AS c12, covar_pop(x1, r) * count(*) AS c1, covar_pop(x2, r) * count(*) AS c2 FROM t GROUP BY 1),
+    b AS (SELECT *, (c1 * c22 - c2 * c12) / (c11 * c22 - c12 * c12) AS b1, (c2 * c11 - c1 * c12) / (c11 * c22 - c12 * c12) AS b2 FROM m),
+    q AS (SELECT x.block_id, x.y AS y_true, o.mean + mr + b1 * ((coalesce(h.s, 0) + 5 * o.mean) / (coalesce(h.n, 0) + 5) - m1)
+            + b2 * ((coalesce(g.s, 0) + 5 * o.mean) / (coalesce(g.n, 0) + 5) - m2) AS y_pred
+          FROM members x JOIN o USING (block_id) JOIN b USING (block_id) LEFT JOIN h USING (block_id, host)
+          LEFT JOIN g ON g.block_id = x.block_id AND g.guest = coalesce(x.guest, -1) WHERE x.role = 'test')
+    """
+    + f"SELECT block_id, n, round(raw, 6) AS r2, status FROM ({_score_sql('q', 'block_id')})",
+    "winner_changes": "WITH "
+    + _BEST
+    + f""", fewer AS (SELECT block_id, CASE WHEN r IS NOT NULL THEN model END AS best_null FROM (
+      SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY r DESC NULLS LAST, k) AS rn
+      FROM (SELECT *, round(raw, 9) AS r, CASE model {_ORDER} END AS k FROM null_scores WHERE model <> 'additive') WHERE k IS NOT NULL) WHERE rn = 1)"""
+    + """ SELECT block_id, best.best_null AS before, fewer.best_null AS after FROM best FULL JOIN fewer USING (block_id)
+    WHERE best.best_null IS DISTINCT FROM fewer.best_null""",
     "exact_tests": "WITH "
     + _MARGINS
     + """, m AS (SELECT model, margin, rank() OVER (PARTITION BY model ORDER BY abs(margin))

@@ -5,6 +5,7 @@ Every source takes an explicit schema; nothing is inferred from content.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
@@ -18,6 +19,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 NO_NULL = "\u0000"
 
 
+# How cells spell numbers that are not finite.
+NONFINITE = ("nan", "+nan", "-nan", "inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
+
+
 class SourceError(ValueError):
     """A source is not what its contract says."""
 
@@ -51,7 +56,7 @@ def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise SourceError(f"{path} is empty")
-    names = [n.strip('"') for n in first[0][0].split(sep)]
+    names = next(csv.reader([first[0][0].removeprefix("\ufeff")], delimiter=sep))
     if any(not n.strip() for n in names) or len(set(names)) < len(names):
         raise SourceError(f"{path} has blank or repeated column names")
     return names
@@ -180,9 +185,8 @@ def differing_files(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def nonfinite_tokens(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, n_rows, n_nonfinite)``: cells that spell out NaN, infinity
-    or an undefined value."""
-    words = ["nan", "+nan", "-nan", "inf", "+inf", "-inf", "infinity", "-infinity", "undefined", "none", "null"]
+    """``(column, n_rows, n_nonfinite)``: cells that spell out NaN or infinity."""
+    words = NONFINITE
     hits = [F.count_if(F.lower(F.trim(F.col(c).cast("string"))).isin(*words)).alias(c) for c in columns]
     total = df.agg(F.count("*").alias("__n"), *hits)
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col("__n").alias("n_rows"), F.col(c).alias("n_nonfinite")) for c in columns])

@@ -10,11 +10,13 @@ from collections.abc import Sequence
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNDEFINED = "UNDEFINED"
+#: Blanks around a cell belong to it; Spark's writer would cut them.
+AS_IT_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 class OutputExists(FileExistsError):
@@ -31,14 +33,14 @@ def sorted_delimited(df: DataFrame, path: str, columns: Sequence[str], order: Se
         raise ValueError(f"columns without a place: {extra}")
     out = df.select(*columns)
     out = out.coalesce(1).sortWithinPartitions(*order) if single else out.orderBy(*order)
-    out.write.mode("errorifexists").csv(path, sep=sep, header=True, emptyValue="", lineSep="\n")
+    out.write.mode("errorifexists").csv(path, sep=sep, header=True, emptyValue="", lineSep="\n", **AS_IT_IS)
 
 
 def table_with_undefined(df: DataFrame, path: str) -> None:
     """TSV in which null is the word UNDEFINED and nested cells are JSON."""
     nested = (T.StructType, T.ArrayType, T.MapType)
     cells = [F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, nested) else F.col(c) for c in df.columns]
-    df.select(*cells).coalesce(1).write.mode("errorifexists").csv(path, sep="\t", header=True, nullValue=UNDEFINED, emptyValue="")
+    df.select(*cells).coalesce(1).write.mode("errorifexists").csv(path, sep="\t", header=True, nullValue=UNDEFINED, emptyValue="", **AS_IT_IS)
 
 
 def round_trip_text(c):
@@ -56,22 +58,22 @@ def seventeen_digits(name: str):
     return text(F.col(name))
 
 
-def plain(value: Any) -> Any:
-    """Rows, tuples and NaN as what JSON can hold."""
-    if isinstance(value, float):
-        return value if math.isfinite(value) else None
-    if hasattr(value, "asDict"):
-        return plain(value.asDict(recursive=True))
-    if isinstance(value, dict):
-        return {str(k): plain(v) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [plain(v) for v in value]
-    return value
+def json_text(value: Any) -> str:
+    """Sorted JSON in which numbers that are not finite are null.
+
+    Rows of a DataFrame go in as ``collect()`` returns them, alone or in a
+    list.  The first pass writes constants such as NaN, which no JSON number
+    looks like; reading it back turns just those into null.
+    """
+    rows = value if isinstance(value, list) else [value]
+    named = [r.asDict(recursive=True) if isinstance(r, Row) else r for r in rows]
+    loose = json.dumps(named if isinstance(value, list) else named[0])
+    return json.dumps(json.loads(loose, parse_constant=lambda _: None), indent=2, sort_keys=True, allow_nan=False)
 
 
 def write_json(path: str, value: Any) -> None:
     """JSON by a temporary file and a rename; NaN becomes null."""
-    write_bytes(path, (json.dumps(plain(value), indent=2, sort_keys=True, allow_nan=False) + "\n").encode())
+    write_bytes(path, f"{json_text(value)}\n".encode())
 
 
 def write_bytes(path: str, content: bytes) -> None:

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairaudit.functions import text
+from pairaudit.operators import gates
 from pairaudit.operators.curation import exclusion_reason, size_code
-from pairaudit.sources import files, sinks
+from pairaudit.session import Materialized
+from pairaudit.sources import files, jobs, sinks
 from pairaudit.streaming import incremental
 
 
@@ -140,11 +142,57 @@ def test_json_and_claims(tmp_path):
 
 def test_text_functions(spark):
     df = spark.createDataFrame([("07", "Yes", "b|A| a"), ("0", "0", ""), ("12", None, None), ("-1", " TRUE ", "x")], "i string, b string, n string")
-    got = df.select(text.parse_index(F.col("i")), text.parse_bool(F.col("b"), strict=False), F.array_join(text.name_tokens(F.col("n")), ",")).collect()
-    assert [tuple(r) for r in got] == [(None, True, "a,b"), (0, False, ""), (12, None, None), (None, True, "x")]
-    with pytest.raises(Exception, match="not a boolean"):
-        df.select(text.parse_bool(F.col("b"))).collect()
-    assert df.select(text.parse_bool(F.col("b"), blank_is_false=True)).collect()[2][0] is False
+    got = df.select(text.parse_index(F.col("i")), F.array_join(text.name_tokens(F.col("n")), ",")).collect()
+    assert [tuple(r) for r in got] == [(None, "a,b"), (0, ""), (12, None), (None, "x")]
+
+
+def test_two_dialects_of_booleans(spark):
+    cells = ["Yes", "0", None, " TRUE ", "y", "N", "", "1", "false", "True", "maybe"]
+    df = spark.createDataFrame([(c,) for c in cells], "b string")
+    of = lambda words: [r[0] for r in df.select(text.parse_bool(F.col("b"), words, strict=False)).collect()]
+    assert of(text.TABLE_WORDS) == [True, False, False, True, True, False, False, True, False, True, None]
+    assert of(text.MASK_WORDS) == [None, False, None, None, None, None, None, True, False, True, None]
+    for words in (text.TABLE_WORDS, text.MASK_WORDS):
+        with pytest.raises(Exception, match="not a boolean"):
+            df.select(text.parse_bool(F.col("b"), words)).collect()
+
+
+def test_blanks_around_a_cell_stay(spark, tmp_path):
+    df = spark.createDataFrame([(1, " a "), (2, "b\t")], "k int, t string")
+    sinks.sorted_delimited(df, str(tmp_path / "b"), ["k", "t"], ["k"])
+    assert [r.t for r in files.all_text(spark, str(tmp_path / "b"), ["k", "t"]).collect()] == [" a ", "b\t"]
+
+
+def test_quoted_names_in_a_header(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('\ufeffa,"b,c",d\n1,2,3\n')
+    assert files.header_of(spark, str(tmp_path / "q.csv")) == ["a", "b,c", "d"]
+
+
+def test_saved_jobs_and_their_faults(spark, tmp_path):
+    rows = spark.createDataFrame([(m, i, i * 0.5, i * 0.25 if i else float("nan")) for m in "abcd" for i in range(5)], "m string, row_index bigint, y_true double, y_pred double")
+    scores = spark.createDataFrame([(m, 5, None if m == "a" else 0.5) for m in "abcd"], "m string, n bigint, r2 double")
+    jobs.save_jobs(rows, scores, ["m"], str(tmp_path))
+    saved = jobs.read_jobs(spark, str(tmp_path), "n bigint, r2 double")
+    assert jobs.job_faults(saved).count() == 0
+    got = sorted(map(tuple, saved.predictions.filter("job_id = 'b'").select("position", "row_index", "y_true").collect()))
+    assert got == [(i, i, i * 0.5) for i in range(5)]
+    assert {r.job_id: r.r2 for r in saved.results.collect()} == {"a": None, "b": 0.5, "c": 0.5, "d": 0.5}
+    lines = (tmp_path / "jobs/b/predictions.csv").read_text().splitlines()
+    (tmp_path / "jobs/b/predictions.csv").write_text("\n".join([lines[0], lines[2], lines[1], *lines[3:]]) + "\n")
+    (tmp_path / "jobs/c").rename(tmp_path / "jobs/x")
+    (tmp_path / "jobs/d/membership.json").unlink()
+    faults = jobs.job_faults(jobs.read_jobs(spark, str(tmp_path), "n bigint, r2 double"))
+    assert sorted(map(tuple, faults.collect())) == [("b", "predictions"), ("b", "test_order"), ("d", "absent"), ("d", "test_order"), ("x", "name")]
+
+
+def test_a_gate_stops_before_outcomes(spark):
+    mask = spark.range(3)
+    faults = spark.createDataFrame([(1, "value")], "k int, fault string")
+    asked = []
+    with pytest.raises(Exception, match="baseline"):
+        gates.gated(mask, lambda: faults, asked.append, Materialized(spark, "t"))
+    assert not asked
+    assert gates.gated(mask, lambda: faults.limit(0), lambda m: m, Materialized(spark, "t")).count() == 3
 
 
 def test_reasons_take_the_host_first(spark):
