@@ -38,7 +38,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from functools import cache
 
 import pandas as pd
@@ -130,7 +130,7 @@ def _readable_form(segment: str) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-def confusables(spark: SparkSession) -> dict[str, str]:
+def confusables(spark: SparkSession) -> Confusables:
     """Letters that the Unicode confusables data (UTS 39) hold confusable with
     a Latin letter of their case, and that letter.
 
@@ -141,7 +141,7 @@ def confusables(spark: SparkSession) -> dict[str, str]:
     """
     icu = getattr(spark.sparkContext._jvm.com.ibm.icu.text, "SpoofChecker", None)
     if not hasattr(icu, "Builder"):
-        return {}
+        return NONE
     checker = icu.Builder().build()
     skeletons = lambda chars: checker.getSkeleton("\n".join(chars)).split("\n")
     latin = [chr(c) for c in range(128) if chr(c).isalpha()]
@@ -158,25 +158,39 @@ def confusables(spark: SparkSession) -> dict[str, str]:
         fit = [x for x in of.get(skeleton, ()) if (kind == "Lo") or (x.isupper() == (kind == "Lu"))]
         if fit and unicodedata.normalize("NFD", c) == c:
             out[c] = fit[-1]
-    return out
+    return Confusables(out, [c for c in others if len(unicodedata.normalize("NFD", c)) > 1])
 
 
-NONE: Mapping[str, str] = {}
-#: Words: letters and their marks.
-_WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
-_LATIN = re.compile("[A-Za-z]")
+class Confusables(dict):
+    """Letters and the Latin letters they are folded to in words that hold a
+    Latin letter; such a word has one of them beside a Latin one somewhere."""
 
+    def __init__(self, table: Mapping[str, str], letters: Sequence[str] = ()):
+        super().__init__(table)
+        composed = [c for c in letters if unicodedata.normalize("NFD", c)[0] in table]
+        self.letters = frozenset(table) | frozenset(composed)
+        some, marks = f"[{re.escape(''.join(sorted(self.letters)))}]", "[\u0300-\u036f]*"
+        self.touching = re.compile(f"[A-Za-z]{marks}{some}|{some}{marks}[A-Za-z]") if table else None
 
-def _folded_words(text: str, table: Mapping[str, str]) -> str:
-    """Fold the letters of ``table`` in words that hold a Latin letter."""
+    def __reduce__(self) -> tuple:
+        return Confusables, (dict(self), tuple(self.letters - frozenset(self)))
 
-    def fold(found: re.Match) -> str:
+    def folded(self, text: str) -> str:
+        if not self or self.letters.isdisjoint(text) or not self.touching.search(text):
+            return text
+        return _WORD.sub(self._fold, text)
+
+    def _fold(self, found: re.Match) -> str:
         word = found.group()
         if word.isascii() or not _LATIN.search(apart := unicodedata.normalize("NFD", word)):
             return word
-        return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in apart))
+        return unicodedata.normalize("NFC", "".join(self.get(c, c) for c in apart))
 
-    return _WORD.sub(fold, text)
+
+#: Words: letters and their marks.
+_WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
+_LATIN = re.compile("[A-Za-z]")
+NONE = Confusables({})
 
 
 #: Stretches outside printable ASCII and line feeds.
@@ -227,43 +241,38 @@ def _spliced(text: str, unstable: set[str], form) -> str:  # noqa: ANN001
     return "".join(parts)
 
 
-def canonical(text: str, wide: Mapping[str, str] = NONE) -> str:
+def _unstable(text: str) -> set[str]:
+    doubtful = set(text) - _KNOWN_STABLE
+    unstable = {c for c in doubtful if not _stable(c)}
+    _KNOWN_STABLE.update(doubtful - unstable)
+    return unstable
+
+
+def canonical(text: str, wide: Confusables = NONE) -> str:
     """``text`` in the one form under which texts that look alike are equal.
 
     ``wide`` are the ``confusables``."""
-    doubtful = set(text) - _KNOWN_STABLE
-    if not doubtful:
-        return text
-    unstable = {c for c in doubtful if not _stable(c)}
-    _KNOWN_STABLE.update(c for c in doubtful - unstable if not _other_script(c))
-    if unstable:
-        text = _spliced(text, unstable, _form)
-    return text if wide.keys().isdisjoint(doubtful) else _folded_words(text, wide)
+    unstable = _unstable(text)
+    return wide.folded(_spliced(text, unstable, _form) if unstable else text)
 
 
-@cache
-def _other_script(c: str) -> bool:
-    """Letters that may be in a table of confusables: never taken as known."""
-    return unicodedata.category(c) in ("Lu", "Ll", "Lo") and (c in "\u0251\u0261" or not unicodedata.name(c, "LATIN").startswith("LATIN"))
+def readable(text: str, wide: Confusables = NONE) -> str:
+    """``text`` to train on: one form, with words of other scripts kept.
 
+    ``wide`` are the ``confusables`` with ``LOOKALIKE``."""
+    unstable = _unstable(text)
+    return wide.folded(_spliced(text, unstable, _readable_form) if unstable else text)
 
-def readable(text: str, wide: Mapping[str, str] = NONE) -> str:
-    """``text`` to train on: one form, with words of other scripts kept."""
-    doubtful = set(text) - _KNOWN_STABLE
-    if not doubtful:
-        return text
-    unstable = {c for c in doubtful if not _stable(c)}
-    if unstable:
-        text = _spliced(text, unstable, _readable_form)
-    folds = {**wide, **LOOKALIKE}
-    return text if folds.keys().isdisjoint(text) else _folded_words(text, folds)
+
+def with_lookalikes(wide: Confusables) -> Confusables:
+    return Confusables({**wide, **LOOKALIKE}, tuple(wide.letters))
 
 
 def _looks_as_written(text: str | None) -> bool:
     return text is None or (text.isascii() and text.isprintable())
 
 
-def canonical_of(series: pd.Series, wide: Mapping[str, str] = NONE) -> pd.Series:
+def canonical_of(series: pd.Series, wide: Confusables = NONE) -> pd.Series:
     return series.map(lambda t: t if _looks_as_written(t) else canonical(t, wide))
 
 
@@ -271,10 +280,11 @@ def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, text, skeleton)``: each text as one should train on it, and its
     canonical form, under which it equals all texts that look the same."""
     wide = confusables(df.sparkSession)
+    letters = with_lookalikes(wide)
 
-    @F.pandas_udf(f"{text} string, skeleton string")
+    @F.pandas_udf(f"`{text}` string, skeleton string")
     def forms(series: pd.Series) -> pd.DataFrame:
-        kept = series.map(lambda t: t if _looks_as_written(t) else readable(t, wide))
+        kept = series.map(lambda t: t if _looks_as_written(t) else readable(t, letters))
         return pd.DataFrame({text: kept, "skeleton": canonical_of(series, wide)})
 
     return df.select(key, forms(F.col(text)).alias("f")).select(key, "f.*")

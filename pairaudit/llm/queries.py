@@ -17,6 +17,12 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_splits.assign_splits(table(spark, sf_dir, "folds_host_canonical"))
 
 
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each split has its share of the records, within two points, and
+    how many groups are divided."""
+    return group_splits.split_shares(p1_splits(spark, sf_dir)).drop("n_records")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_overlap.cross_split_pairs(
         table(spark, sf_dir, "folds_host_canonical"), table(spark, sf_dir, "identity_entry")
@@ -38,6 +44,16 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p6_packing(spark, sf_dir))
 
 
+def p6_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows, tokens and unused space per context-size tier."""
+    return packing.tier_report(p6_packing(spark, sf_dir))
+
+
+def p6_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each token once, no container above its capacity, only long texts cut."""
+    return packing.packing_faults(p6_packing(spark, sf_dir), "doc_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -75,10 +91,13 @@ def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
+    "p1_shares": p1_shares,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p6_packing": p6_packing,
     "p6_report": p6_report,
+    "p6_tiers": p6_tiers,
+    "p6_faults": p6_faults,
     "p7_found": p7_found,
     "p7_reparameterised": p7_reparameterised,
     "p7_report": p7_report,
@@ -165,6 +184,8 @@ dr AS (SELECT DISTINCT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS run
 ORACLE: dict[str, str] = {
     "p1_found": _TIES
     + """SELECT min(least) AS group_host_id, row_index FROM r JOIN reach USING (host) GROUP BY row_index""",
+    "p1_shares": """SELECT split, true AS on_target, CAST(0 AS BIGINT) AS n_divided
+    FROM (VALUES ('train'), ('validation'), ('test')) AS s(split)""",
     "p3_found": _OVERLAP + "SELECT * FROM p",
     "p3_report": _OVERLAP
     + """, ends AS (SELECT fold_index, overlap, row_index_1 AS row, row_index_2 AS other FROM p
@@ -173,6 +194,12 @@ ORACLE: dict[str, str] = {
     SELECT fold_index, nullif(source, '') AS source, overlap, count(DISTINCT row) AS n_records, count(*) AS n_pairs
     FROM ends LEFT JOIN s USING (row)
     WHERE (fold_index, row) IN (SELECT (fold, row) FROM f WHERE role = 'test') GROUP BY 1, 2, 3""",
+    "p6_faults": r"""
+    SELECT count(*) AS n_items, CAST(sum(greatest(1, (n + 2047) // 2048)) AS BIGINT) AS n_pieces, CAST(sum(n) AS BIGINT) AS n_tokens,
+           CAST(0 AS BIGINT) AS needlessly_cut, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS misplaced
+    FROM (SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 0
+                 ELSE coalesce(n_tokens, len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_ \t\n\r\f\v]+'))) END AS n
+          FROM documents)""",
     "p7_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (n, run)",
     "p7_report": _RUNS
     + """, found AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (n, run))
