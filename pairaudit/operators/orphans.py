@@ -3,13 +3,16 @@
 1. The references are reduced to one row per referenced key with the earliest
    and latest time it was referred to; tasks combine first, so a key that a
    third of all rows refer to costs one row per task.
-2. A broadcast Bloom filter of the parents' keys (bounded by construction, see
-   ``bloom``) proves orphans: a key it does not hold is missing for certain.
+2. A Bloom filter of the parents' keys, broadcast up to a fixed size and
+   divided beyond it (see ``bloom``), proves orphans: a key it does not hold is
+   missing for certain.
 3. Only the keys it lets through are joined with the parents exactly.  That
    finds the filter's errors and the parents that were withdrawn or loaded
-   too late for some reference.  What is left is the table of bad keys.
-4. The references are pruned by a second bounded filter, of the bad keys, and
-   joined with them; each reference gets its reason by its own time.
+   too late for some reference.  What is left is the table of bad keys, which
+   is written.
+4. The references are pruned by a second broadcast filter, of the bad keys,
+   unless these are too many for one, and joined with them; each reference
+   gets its reason by its own time.
 
 Defined results: null and negative references refer to nothing; a parent is
 there from its earliest ``loaded_at`` and withdrawn from its earliest
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairaudit.operators import bloom
+from pairaudit.session import Materialized
 
 
 @dataclass(frozen=True)
@@ -67,13 +71,14 @@ def find_orphans(
     period_of: str = "produced_at",
     parent_rows: int | None = None,
     max_words: int = bloom.MAX_WORDS,
+    store: Materialized | None = None,
 ) -> DataFrame:
     """Rows ``(*keys, ref_field, reason, period)``, one per key and failing
     reference.  ``parent_rows`` sizes the filter; counted when not given."""
     keys = list(keys)
     if parent_rows is None:
         parent_rows = sum(p.table.count() for p in parents)
-    n_words = bloom.words_for(parent_rows, max_words)
+    n_words = bloom.words_for(parent_rows)
     fields = [p.field for p in parents]
 
     refs = references.select(
@@ -92,7 +97,7 @@ def find_orphans(
         .agg(F.min("at").alias("earliest"), F.max("at").alias("latest"))
         .withColumn("id", F.xxhash64("ref", "key"))
     )
-    probed = bloom.probe(used, "id", words, n_words)
+    probed = bloom.probe(used, "id", words, n_words, max_words=max_words)
     proven = probed.filter(~F.col("maybe")).select("ref", "key", F.lit(True).alias("missing"), *_no_times(known))
     verified = (
         probed.filter("maybe")
@@ -100,10 +105,12 @@ def find_orphans(
         .filter("there IS NULL OR gone <= latest OR first > earliest")
         .select("ref", "key", F.col("there").isNull().alias("missing"), "first", "gone")
     )
-    bad = proven.unionByName(verified).withColumn("id", F.xxhash64("ref", "key"))
+    bad = (store or Materialized(references.sparkSession, "orphans")).write(proven.unionByName(verified).withColumn("id", F.xxhash64("ref", "key")))
+    n_bad = bloom.words_for(bad.count())
 
-    bad_words = bloom.build(bad, "id", n_words)
-    suspect = bloom.probe(refs.withColumn("id", F.xxhash64("ref", "key")), "id", bad_words, n_words).filter("maybe")
+    suspect = refs.withColumn("id", F.xxhash64("ref", "key"))
+    if n_bad <= max_words:
+        suspect = bloom.probe(suspect, "id", bloom.build(bad, "id", n_bad), n_bad).filter("maybe").drop("maybe")
     by = [f"__k{i}" for i in range(len(keys))]
     reason = (
         F.when(F.col("missing"), "missing")
@@ -112,7 +119,7 @@ def find_orphans(
     )
     names = F.array(*[F.lit(f) for f in fields])
     return (
-        suspect.drop("id", "maybe")
+        suspect.drop("id")
         .join(bad.drop("id"), ["ref", "key"])
         .withColumn("reason", reason)
         .filter(F.col("reason").isNotNull())

@@ -60,7 +60,9 @@ def test_against_brute_force_with_a_full_filter(spark):
         if g >= 0:
             want.append((k, i, "guest", "missing", period))
     assert found(spark, data, hosts, []) == sorted(want)
+    # filters beyond the bound of what is broadcast
     assert found(spark, data, hosts, [], max_words=1) == sorted(want)
+    assert found(spark, data, hosts, [], max_words=1, parent_rows=100_000) == sorted(want)
 
 
 def test_bloom_never_hides_a_key(spark):
@@ -69,5 +71,6 @@ def test_bloom_never_hides_a_key(spark):
     words = bloom.build(keys, "id", n)
     assert words.count() <= n
     assert bloom.probe(keys, "id", words, n).filter("NOT maybe").count() == 0
+    assert bloom.probe(keys, "id", words, n, max_words=1).filter("NOT maybe").count() == 0
     others = spark.range(10_000, 30_000).withColumn("id", F.xxhash64("id"))
     assert bloom.probe(others, "id", words, n).filter("maybe").count() < 20_000 * 0.05
