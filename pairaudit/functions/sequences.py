@@ -13,41 +13,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Residues by their three-letter code.
-RESIDUES = {
-    "ala": "A", "arg": "R", "asn": "N", "asp": "D", "cys": "C", "gln": "Q", "glu": "E", "gly": "G", "his": "H", "ile": "I",
-    "leu": "L", "lys": "K", "met": "M", "phe": "F", "pro": "P", "ser": "S", "thr": "T", "trp": "W", "tyr": "Y", "val": "V",
-}
+# Residues, protecting ends and lysine methylations of peptide names.
 ONE_LETTER = "ACDEFGHIKLMNPQRSTVWY"
+THREE_LETTER = "Ala|Arg|Asn|Asp|Cys|Gln|Glu|Gly|His|Ile|Leu|Lys|Met|Phe|Pro|Ser|Thr|Trp|Tyr|Val"
+N_ENDS, C_ENDS = "H|Ac|Bz|Boc|Fmoc", "NH2|NH_2|OH"
 
 
 def peptide(name: Column) -> Column:
-    """``struct(sequence, notation, c_terminus, n_modifications)`` of a peptide
-    name; the sequence is null if the name is no peptide.
-
-    A leading ``H-`` or ``Ac-`` and a trailing ``-NH2`` or ``-OH`` are ends,
-    modifications in brackets after a residue are left out of the sequence.
+    """``struct(notation, n_end, c_end, sequence, modifications, parsed, note)``
+    of a peptide name.
+
+    A peptide has both ends written, ``Ac-...-NH2``.  One-letter names give
+    their residues and, for each methylation such as ``(me3)`` or ``Kme3``, the
+    position of the residue before it, from 1.  Three-letter names are told
+    apart and not converted.  ``parsed`` is true for two or more of the twenty
+    residues and nothing else; ``note`` says why not.
     """
-    plain = F.trim(name)
-    c_end = F.regexp_extract(plain, "-(NH2|OH)$", 1)
-    body = F.regexp_replace(F.regexp_replace(plain, "-(NH2|OH)$", ""), "^(H|Ac)-", "")
-    bare = F.regexp_replace(body, r"\([A-Za-z0-9]*\)", "")
-    three = bare.rlike("^([A-Z][a-z]{2})(-[A-Z][a-z]{2})+$")
-    letters = F.transform(F.split(F.lower(bare), "-"), lambda r: F.element_at(_residues(), r))
-    known = three & ~F.exists(letters, lambda x: x.isNull())
-    one = bare.rlike(f"^[{ONE_LETTER}]{{3,}}$")
+    n_end = F.regexp_extract(name, rf"^\s*({N_ENDS})\s*-", 1)
+    c_end = F.regexp_extract(name, rf"-\s*({C_ENDS})\s*$", 1)
+    body = F.regexp_replace(F.regexp_replace(name, rf"^\s*({N_ENDS})\s*-", ""), rf"-\s*({C_ENDS})\s*$", "")
+    ends = F.coalesce((n_end != "") & (c_end != ""), F.lit(False))
+    three = ends & F.concat(F.lit("-"), body).rlike(rf"-({THREE_LETTER})(-|$)")
+    one = ends & ~three
+    # every methylation in brackets, then residue by residue
+    marked = F.regexp_replace(F.regexp_replace(body, r"(?<=[A-Z])(me[123])(?=[A-Z]|$)", "($1)"), "[- ]", "")
+    tokens = F.regexp_extract_all(F.when(one, marked), F.lit(r"(\(me[123]\)|.)"), F.lit(1))
+    methylation = lambda t: F.length(t) > 1
+    none = F.array().cast("array<struct<position:int,name:string>>")
+    walked = F.aggregate(
+        tokens,
+        F.struct(F.lit(0).alias("n"), none.alias("found")),
+        lambda at, t: F.when(
+            methylation(t),
+            F.struct(at["n"].alias("n"), F.concat(at["found"], F.array(F.struct(at["n"].alias("position"), F.substring(t, 2, 3).alias("name")))).alias("found")),
+        ).otherwise(F.struct((at["n"] + 1).alias("n"), at["found"].alias("found"))),
+        lambda at: at["found"],
+    )
+    sequence = F.array_join(F.filter(tokens, lambda t: ~methylation(t)), "")
+    pure = F.coalesce(sequence.rlike(f"^[{ONE_LETTER}]{{2,}}$"), F.lit(False))
+    note = (
+        F.when(F.coalesce(F.trim(name) == "", F.lit(True)), "no_name")
+        .when(~ends, "not_a_peptide")
+        .when(three, "three_letter_not_converted")
+        .when(~pure, "other_residues")
+    )
     return F.struct(
-        F.when(one, bare).when(known, F.array_join(letters, "")).alias("sequence"),
-        F.when(one, "one_letter").when(known, "three_letter").alias("notation"),
-        F.when(one | known, c_end).alias("c_terminus"),
-        F.when(one | known, F.regexp_count(body, F.lit(r"\([A-Za-z0-9]+\)"))).alias("n_modifications"),
+        F.when(three, "three_letter").when(one, "one_letter").otherwise("not_a_peptide").alias("notation"),
+        F.when(ends, n_end).alias("n_end"),
+        F.when(ends, c_end).alias("c_end"),
+        sequence.alias("sequence"),
+        walked.alias("modifications"),
+        pure.alias("parsed"),
+        note.alias("note"),
     )
 
 
-def _residues() -> Column:
-    return F.create_map(*[F.lit(x) for pair in RESIDUES.items() for x in pair])
-
-
 def positions_of(sequence: Column, residue: str) -> Column:
     """All positions, from 1, of a residue."""
     at = F.sequence(F.lit(1), F.length(sequence))

@@ -43,14 +43,15 @@ def _unpack(batch: pa.RecordBatch, words: list[str]) -> np.ndarray:
 
 
 def top_similar(
-    queries: DataFrame, rows: DataFrame, key: str, words: list[str], k: int, block: int = 2048, same_set: bool = True
+    queries: DataFrame, rows: DataFrame, key: str, words: list[str], k: int, block: int = 1 << 18, same_set: bool = True
 ) -> DataFrame:
     """``(query, match, similarity, rank)``: the ``k`` most similar rows of
     each query, ties by the smaller id; a row is no match of itself when
     ``same_set``.
 
     The queries are read in blocks that travel to all slices of the rows, so
-    nothing but (block, slice) candidates, ``k`` per query, is shuffled.
+    nothing but the best ``k`` of each query in each slice is shuffled.  A block
+    of ``block`` queries is a few megabytes; the rows are read once per block.
     """
     spark = rows.sparkSession
     id_type = rows.schema[key].dataType.simpleString()
@@ -62,6 +63,8 @@ def top_similar(
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, bits = sent.value
             count = np.bitwise_count(bits).sum(axis=1)
+            # the best of the slice so far, a row per query
+            top, match = np.full((len(ids), k), -1.0), np.zeros((len(ids), k), dtype=np.int64)
             for batch in batches:
                 there = batch.column(key).to_numpy(zero_copy_only=False)
                 mine = _unpack(batch, words)
@@ -76,12 +79,15 @@ def top_similar(
                     if same_set:
                         s[ids[part, None] == there[None, :]] = -1.0
                     order = np.lexsort((np.broadcast_to(there, s.shape), -s), axis=1)[:, :k]
-                    q = np.repeat(ids[part], order.shape[1])
-                    m, v = there[order].ravel(), np.take_along_axis(s, order, axis=1).ravel()
-                    keep = v >= 0
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(q[keep]), pa.array(m[keep]), pa.array(v[keep])], names=["query", "match", "similarity"]
-                    )
+                    v = np.concatenate([top[part], np.take_along_axis(s, order, axis=1)], axis=1)
+                    m = np.concatenate([match[part], there[order]], axis=1)
+                    order = np.lexsort((m, -v), axis=1)[:, :k]
+                    top[part], match[part] = np.take_along_axis(v, order, axis=1), np.take_along_axis(m, order, axis=1)
+            for begin in range(0, len(ids), 10_000):
+                part = slice(begin, begin + 10_000)
+                keep = top[part].ravel() >= 0
+                columns = np.repeat(ids[part], k)[keep], match[part].ravel()[keep], top[part].ravel()[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "match", "similarity"])
 
         part = rows.select(key, *words).mapInArrow(best, schema)
         total = part if total is None else total.unionByName(part)

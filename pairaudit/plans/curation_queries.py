@@ -394,7 +394,7 @@ ORACLE = {
       SELECT * FROM (SELECT split, block_id, model, row_index, CASE WHEN na IS NULL THEN 'missing_left' WHEN nb IS NULL THEN 'missing_right'
         WHEN na > 1 OR nb > 1 THEN 'repeated' WHEN fa IS DISTINCT FROM fb THEN 'identity' END AS fault FROM a FULL JOIN b USING (split, block_id, model, row_index)) WHERE fault IS NOT NULL""",
     "repeat_report": _TWO + """, d AS (SELECT split, block_id, model, CASE WHEN isfinite(a.y_pred) THEN a.y_pred END AS a, CASE WHEN isfinite(b.y_pred) THEN b.y_pred END AS b
-        FROM panel a JOIN repeat_panel b USING (split, block_id, model, row_index)),
+        FROM panel a FULL JOIN repeat_panel b USING (split, block_id, model, row_index)),
       u AS (SELECT split, block_id, model, count(*) FILTER (WHERE (a IS NULL) <> (b IS NULL)) AS odd, avg(abs(a - b)) AS mean_, sqrt(avg((a - b) * (a - b))) AS rmse,
               quantile_cont(abs(a - b), 0.95) AS p95, max(abs(a - b)) AS max_ FROM d GROUP BY 1, 2, 3),
       m AS (SELECT split, block_id, model, odd, 'mean' AS metric, mean_ AS value, 0.002 AS threshold FROM u

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairaudit.functions import sequences
 from pairaudit.operators import models, resample, scoring, similarity, trees, verify
-from pairaudit.plans.common import FOLDS_SQL, PAIRS_SQL, PANEL_SQL, RECORDS_SQL, REPEAT_SQL, finite_panel, folds, members, pairs, panel, r6, records
+from pairaudit.plans.common import FINITE_SQL, FOLDS_SQL, PAIRS_SQL, PANEL_SQL, RECORDS_SQL, REPEAT_SQL, finite_panel, folds, members, pairs, panel, r6, records
 from pairaudit.plans.curation_queries import _SIMILAR, _bits, _stated
 from pairaudit.plans.scoring_queries import _score_sql
 from pairaudit.session import Materialized
@@ -34,17 +34,14 @@ def boosted_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_cold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leave one structural cluster out; the entities are the label classes,
-    each by the bits that most of its vectors have on."""
-    v = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    majority = v.groupBy("label", "i").agg(F.avg((F.col("x") > 0).cast("double")).alias("p"))
-    mask = F.when(F.col("p") >= 0.5, F.pow(F.lit(2.0), F.col("i") % 32).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    words = majority.groupBy("label").agg(F.sum(F.when(F.col("i") < 32, mask)).alias("w0"), F.sum(F.when(F.col("i") >= 32, mask)).alias("w1"))
-    clusters = models.cluster_entities(words, "label", ["w0", "w1"], n_clusters=3)
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label").join(clusters, "label")
-    per = rows.groupBy("cluster").agg(F.count("*").alias("n_test"), F.countDistinct("label").alias("n_entities"))
-    total = rows.count()
-    return per.select("cluster", "n_test", (F.lit(total) - F.col("n_test")).alias("n_train"), "n_entities")
+    """Leave one structural cluster out: eight clusters of the vectors by
+    their positive components."""
+    bits, words = _bits(spark, sf_dir)
+    clusters = models.cluster_entities(bits, "vec_id", words)
+    rows = bits.select("vec_id", "label").join(clusters, "vec_id")
+    per = rows.groupBy("cluster").agg(F.count("*").alias("n_test"), F.countDistinct("label").alias("n_labels"))
+    total = bits.count()
+    return per.select("cluster", "n_test", (F.lit(total) - F.col("n_test")).alias("n_train"), "n_labels")
 
 
 COLUMNS = ["s_acctbal", "s_nationkey"]
@@ -155,6 +152,15 @@ QUERIES = {
 }
 
 ORACLE = {
+    # the tail of the normal distribution by Simpson's rule
+    "normal_wilcoxon": "WITH " + FINITE_SQL + """, d AS MATERIALIZED (SELECT model, y_true - y_pred AS v FROM finite_panel),
+      r AS (SELECT model, v, rank() OVER (PARTITION BY model ORDER BY abs(v)) + (count(*) OVER (PARTITION BY model, abs(v)) - 1) / 2.0 AS r,
+              count(*) OVER (PARTITION BY model, abs(v)) AS c FROM d WHERE v <> 0),
+      s AS (SELECT model, count(*) AS n, coalesce(sum(r) FILTER (WHERE v > 0), 0) AS p, sum(r) AS t, sum(CAST(c AS DOUBLE) * c - 1) AS ties FROM r GROUP BY 1),
+      z AS (SELECT model, n, least(p, t - p) AS w, (least(p, t - p) - n * (n + 1) / 4.0)
+              / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s)
+      SELECT model, n, CAST(round(w, 1) AS DOUBLE) AS w, round(z, 6) AS z, round(greatest(0, 1 - sqrt(2 / pi()) * abs(z) / 3000 * (
+        SELECT sum(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(i * abs(z) / 1000, 2) / 2)) FROM range(1001) q(i))), 6) AS p_value FROM z""",
     "nearest_neighbour": """WITH s AS (SELECT s_suppkey AS id, (s_acctbal - avg(s_acctbal) OVER ()) / stddev_pop(s_acctbal) OVER () AS a,
         (s_nationkey - avg(s_nationkey) OVER ()) / stddev_pop(s_nationkey) OVER () AS b FROM supplier),
       d AS (SELECT q.id AS query, r.id AS match, sqrt((q.a - r.a) * (q.a - r.a) + (q.b - r.b) * (q.b - r.b)) AS distance

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairaudit.operators import baselines, compare, curation, resample, scoring
+from pairaudit.operators import baselines, compare, curation, resample, scoring, verify
 from pairaudit.plans.common import FINITE_SQL, MEMBERS_SQL, NULLS, PANEL_SQL, finite_panel, members, panel, r6
 from pairaudit.sources.catalog import table
 
@@ -47,6 +47,33 @@ def spearman_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*UNIT, "n", r6("spearman").alias("spearman"), "status")
 
 
+def spearman_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation under the three guards, on predictions that are flat
+    for one model, nearly flat for another."""
+    flat = F.when(F.col("model") == "GINE", F.lit(1.0)).when(F.col("model") == "PAIR_RF", 1 + F.col("y_pred") * 1e-12).otherwise(F.col("y_pred"))
+    rows, out = panel(spark, sf_dir).filter("split = 'host_cold'").withColumn("y_pred", flat), None
+    for guard in ("values", "spread", "zero"):
+        part = scoring.spearman(rows, ["model"], guard=guard).select(F.lit(guard).alias("guard"), "model", "n", r6("spearman").alias("spearman"), "status")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def repeat_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of two runs per block, and over all blocks of a split."""
+    limits = {"mae": 0.02, "r2": 0.03, "spearman": 0.03}
+
+    def scores(name: str) -> DataFrame:
+        rows, out = panel(spark, sf_dir, name), None
+        for unit, block in ((UNIT, F.col("block_id")), (["split", "model"], F.lit("ALL"))):
+            one = scoring.guarded_scores(rows, unit).join(scoring.spearman(rows, unit).select(*unit, "spearman"), unit, "left")
+            part = one.select("split", block.alias("block_id"), "model", *[F.round(c, 9).alias(c) for c in limits])
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    out = verify.metric_deltas(scores("predictions"), scores("predictions_repeat"), UNIT, limits)
+    return out.select(*UNIT, "metric", r6("delta").alias("delta"), "threshold", "status")
+
+
 def spearman_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation on the largest table, few units of many rows."""
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
@@ -207,7 +234,7 @@ def mask_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        guarded_scores, finite_scores, score_contracts, block_and_pooled, spearman_scores, spearman_large, null_scores,
+        guarded_scores, finite_scores, score_contracts, block_and_pooled, spearman_scores, spearman_large, spearman_guards, repeat_deltas, null_scores,
         strongest_null, margins, equal_block, weighted_block, across_seeds, wide_scores, exact_tests, leave_two_out,
         leave_two_out_least, block_bootstrap, host_bootstrap, oof_ridge, winner_changes, bias_share, sse_share, top_errors,
         target_agreement, mask_sensitivity,
@@ -255,6 +282,7 @@ _RANKS = """SELECT {keys}, count(*) AS n,
 FROM (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY y) + (count(*) OVER (PARTITION BY {keys}, y) - 1) / 2.0 AS ry,
              rank() OVER (PARTITION BY {keys} ORDER BY p) + (count(*) OVER (PARTITION BY {keys}, p) - 1) / 2.0 AS rp
       FROM {source}) GROUP BY {keys}"""
+_FINE_RANKS = _RANKS.replace("corr(ry, rp), 6", "corr(ry, rp), 9")
 
 _NULLS = (
     MEMBERS_SQL
@@ -341,6 +369,36 @@ ORACLE = {
     + FINITE_SQL
     + ", x AS (SELECT *, y_true AS y, y_pred AS p FROM finite_panel) "
     + _RANKS.format(keys="split, block_id, model", source="x"),
+    "spearman_guards": "WITH "
+    + FINITE_SQL
+    + """, x AS (SELECT model, y_true AS y, CASE model WHEN 'GINE' THEN 1.0 WHEN 'PAIR_RF' THEN 1 + y_pred * 1e-12 ELSE y_pred END AS p FROM finite_panel WHERE split = 'host_cold'),
+    x2 AS (SELECT model, y_true AS y, 1.0 AS p FROM panel WHERE model = 'GINE' AND split = 'host_cold' AND isfinite(y_true)),
+    v AS (SELECT * FROM x WHERE model <> 'GINE' UNION ALL SELECT * FROM x2),
+    r AS ("""
+    + _RANKS.format(keys="model", source="v")
+    + """), d AS (SELECT model, stddev_pop(p) AS sd FROM v GROUP BY 1)
+    SELECT 'values' AS "guard", model, n, spearman, status FROM r
+    UNION ALL SELECT 'spread', model, n, CASE WHEN sd > 1e-9 THEN spearman END,
+      CASE WHEN status = 'DEFINED' AND sd <= 1e-9 THEN 'UNDEFINED_NEAR_CONSTANT_PREDICTION' ELSE status END FROM r JOIN d USING (model)
+    UNION ALL SELECT 'zero', model, n, coalesce(CASE WHEN sd >= 1e-9 THEN spearman END, 0.0),
+      CASE WHEN status = 'DEFINED' AND sd < 1e-9 THEN 'UNDEFINED_NEAR_CONSTANT_PREDICTION' ELSE status END FROM r JOIN d USING (model)""",
+    "repeat_deltas": "WITH "
+    + PANEL_SQL
+    + ", "
+    + PANEL_SQL.replace("panel AS", "repeat_panel AS").replace("FROM predictions", "FROM predictions_repeat")
+    + ", "
+    + ", ".join(
+        f"{run}s AS (SELECT split, block_id, model, raw, mae FROM ({_score_sql(source, 'split, block_id, model')}) UNION ALL SELECT split, 'ALL', model, raw, mae FROM ({_score_sql(source, 'split, model')})), "
+        f"{run}f AS (SELECT split, block_id, model, y_true AS y, y_pred AS p FROM {source} WHERE isfinite(y_true) AND isfinite(y_pred)), "
+        f"{run}r AS ({_FINE_RANKS.format(keys='split, block_id, model', source=run + 'f')} UNION ALL SELECT split, 'ALL', model, n, spearman, status FROM ({_FINE_RANKS.format(keys='split, model', source=run + 'f')})), "
+        f"{run} AS (SELECT split, block_id, model, unnest(['mae', 'r2', 'spearman']) AS metric, unnest([mae, raw, spearman]) AS value FROM {run}s LEFT JOIN {run}r USING (split, block_id, model))"
+        for run, source in (("ra", "panel"), ("rb", "repeat_panel"))
+    )
+    + """, d AS (SELECT split, block_id, model, metric, ra.value AS a, rb.value AS b, CASE metric WHEN 'mae' THEN 0.02 ELSE 0.03 END AS threshold
+        FROM ra FULL JOIN rb USING (split, block_id, model, metric))
+    SELECT split, block_id, model, metric, round(abs(a - b), 6) AS delta, CAST(threshold AS DOUBLE) AS threshold,
+      CASE WHEN a IS NULL AND b IS NULL THEN 'UNKNOWN_SYMMETRIC' WHEN a IS NULL OR b IS NULL THEN 'FAIL_ASYMMETRIC_DEFINEDNESS'
+           WHEN abs(a - b) <= threshold THEN 'PASS' ELSE 'FAIL_THRESHOLD' END AS status FROM d""",
     "spearman_large": "WITH x AS (SELECT l_returnflag, l_quantity AS y, l_extendedprice AS p FROM lineitem) "
     + _RANKS.format(keys="l_returnflag", source="x"),
     "null_scores": "WITH "

@@ -21,6 +21,15 @@ def test_number_rows_is_dense_and_ordered(spark):
     assert rows.number_rows(df.limit(0), ["a"]).count() == 0
 
 
+def test_number_rows_in_many_ranges(spark, monkeypatch):
+    """One leading value for most rows, nulls, and repeated rows."""
+    monkeypatch.setattr(rows, "ROWS_A_RANGE", 50)
+    data = [(1 if i % 10 else None, i % 37, "x") for i in range(1000)]
+    got = rows.number_rows(spark.createDataFrame(data, "a int, b int, row_range string"), ["a", "b"]).orderBy("row_index").collect()
+    assert [r.row_index for r in got] == list(range(1000))
+    assert [(r.a is not None, r.a, r.b) for r in got] == sorted(((a is not None, a, b) for a, b, _ in data), key=lambda t: (t[0], t[1] or 0, t[2]))
+
+
 def test_dense_ids_follow_first_appearance(spark):
     df = spark.createDataFrame([(i, k) for i, k in enumerate("bbacab")], "row_index bigint, key string")
     got = {r.key: r.dense_id for r in rows.dense_ids(df, "key").collect()}

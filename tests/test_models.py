@@ -20,13 +20,40 @@ def test_average_linkage_finds_blocks():
     assert models.average_linkage(s, 1).tolist() == [0] * 6
 
 
-def test_cluster_entities_refuses_many(spark):
-    df = spark.createDataFrame([(i, 1 << (i % 3)) for i in range(12)], "k bigint, w0 bigint")
-    got = {r.k: r.cluster for r in models.cluster_entities(df, "k", ["w0"], n_clusters=3).collect()}
-    assert all(got[i] == got[i % 3] for i in got)
-    assert len(set(got.values())) == 3
-    with pytest.raises(ValueError, match="too many"):
-        models.cluster_entities(df, "k", ["w0"], most=5)
+def plain_linkage(similarity, n_clusters):
+    d = 1.0 - similarity
+    np.fill_diagonal(d, np.inf)
+    size, label = np.ones(len(d)), np.arange(len(d))
+    for _ in range(len(d) - n_clusters):
+        a, b = divmod(int(np.argmin(d)), len(d))
+        merged = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[a], d[:, a] = merged, merged
+        d[b], d[:, b] = np.inf, np.inf
+        d[a, a] = np.inf
+        size[a] += size[b]
+        label[label == b] = a
+    return np.unique(label, return_inverse=True)[1]
+
+
+def test_average_linkage_against_the_whole_matrix():
+    rng = np.random.default_rng(6)
+    for n in (2, 5, 30, 60):
+        s = np.round(rng.random((n, n)), 1 if n == 30 else 6)
+        s = (s + s.T) / 2
+        for k in (1, 2, n // 2):
+            assert models.average_linkage(s, k).tolist() == plain_linkage(s, k).tolist()
+
+
+def test_cluster_entities(spark):
+    df = spark.createDataFrame([(i, 0b111 << 8 * (i % 3) | (1 << 8 * (i % 3) + 3 if i % 2 else 0)) for i in range(24)], "k bigint, w0 bigint")
+    for exemplars in (4000, 4):
+        got = {r.k: r.cluster for r in models.cluster_entities(df, "k", ["w0"], n_clusters=3, exemplars=exemplars).collect()}
+        assert len(got) == 24
+        assert all(got[i] == got[i % 6] for i in got)
+        if exemplars > 6:
+            assert all(got[i] == got[i % 3] for i in got)
+            assert len(set(got.values())) == 3
+    assert models.cluster_entities(df.limit(0), "k", ["w0"]).count() == 0
 
 
 def test_nearest_against_brute_force(spark):
@@ -93,12 +120,22 @@ def test_membership_faults_and_branches(spark):
 
 
 def test_peptides(spark):
-    names = ["H-GGVK(me3)KPHY-NH2", "Ac-Ala-Gly-Lys-OH", "calix[4]arene", "Ala-Xyz-Gly", "", None]
+    names = ["Ac-ARTK(me3)Y-NH2", "H-ARTKme2QTA-OH", "H-Ala-Lys-OH", "ARTK", None, " ", "H-AXK-OH", "Boc - A R T K - NH_2", "H-K(me1)(me2)-OH", "H-A-OH"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    got = [tuple(r.p) for r in df.select(sequences.peptide(F.col("n")).alias("p")).collect()]
-    assert got[0] == ("GGVKKPHY", "one_letter", "NH2", 1)
-    assert got[1] == ("AGK", "three_letter", "OH", 0)
-    assert all(g[0] is None for g in got[2:])
+    got = [r.p for r in df.select(sequences.peptide(F.col("n")).alias("p")).collect()]
+    seen = [(p.notation[:5], p.n_end, p.c_end, p.sequence, [tuple(m) for m in p.modifications or []], p.parsed, p.note) for p in got]
+    assert seen == [
+        ("one_l", "Ac", "NH2", "ARTKY", [(4, "me3")], True, None),
+        ("one_l", "H", "OH", "ARTKQTA", [(4, "me2")], True, None),
+        ("three", "H", "OH", None, [], False, "three_letter_not_converted"),
+        ("not_a", None, None, None, [], False, "not_a_peptide"),
+        ("not_a", None, None, None, [], False, "no_name"),
+        ("not_a", None, None, None, [], False, "no_name"),
+        ("one_l", "H", "OH", "AXK", [], False, "other_residues"),
+        ("one_l", "Boc", "NH_2", "ARTK", [], True, None),
+        ("one_l", "H", "OH", "K", [(1, "me1"), (1, "me2")], False, "other_residues"),
+        ("one_l", "H", "OH", "A", [], False, "other_residues"),
+    ]
     k = df.select(sequences.positions_of(F.lit("GKAKK"), "K"), sequences.positions_of(F.lit(""), "K")).first()
     assert tuple(k) == ([2, 4, 5], [])
 
