@@ -196,9 +196,22 @@ def average_ranks(df: DataFrame, unit: Sequence[str], x: str, n: str = "n", dept
     return ranked.select(*unit, x, rank.alias("rank"))
 
 
-def spearman(panel: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """``(*by, n, spearman, status)`` over finite rows, ties averaged; a
-    constant side is undefined."""
+def spearman(panel: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred", guard: str = "values") -> DataFrame:
+    """``(*by, n, spearman, status)`` over finite rows, ties averaged.
+
+    Three guards: ``values`` leaves a constant side undefined; ``spread`` also
+    predictions whose deviation is at most 1e-9; ``zero`` gives 0.0 wherever
+    ``spread`` (with less than 1e-9) or the ranks leave it undefined."""
+    if guard != "values":
+        plain = spearman(panel, by, y, p)
+        known = panel.filter(finite(F.col(y)) & finite(F.col(p)))
+        spread = known.groupBy(*by).agg(F.stddev_pop(p).alias("__sd"))
+        flat = F.col("__sd") <= 1e-9 if guard == "spread" else F.col("__sd") < 1e-9
+        value = F.when(~flat, F.col("spearman"))
+        return plain.join(spread, list(by)).select(
+            *by, "n", (F.coalesce(value, F.lit(0.0)) if guard == "zero" else value).alias("spearman"),
+            F.when((F.col("status") == DEFINED) & flat, NEAR_CONSTANT).otherwise(F.col("status")).alias("status"),
+        )
     rows = panel.filter(finite(F.col(y)) & finite(F.col(p))).groupBy(*by, F.col(y).alias("__y"), F.col(p).alias("__p"))
     cells = rows.agg(F.count("*").alias("n"))
     ry = average_ranks(cells, by, "__y").withColumnRenamed("rank", "ry")

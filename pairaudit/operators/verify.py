@@ -134,13 +134,13 @@ def repeat_report(a: DataFrame, b: DataFrame, keys: Sequence[str], by: Sequence[
 
     Metrics are of the absolute differences of predictions: ``mean``, ``rmse``,
     ``p95`` (linear), ``max``.  Undefined on both sides of every row is
-    ``UNKNOWN_SYMMETRIC``; a row defined on one side only makes the unit
-    ``FAIL_ASYMMETRIC_DEFINEDNESS``.
+    ``UNKNOWN_SYMMETRIC``; a row that is defined, or there, on one side only
+    makes the unit ``FAIL_ASYMMETRIC_DEFINEDNESS``.
     """
     x = a.select(*keys, F.when(finite(F.col(p)), F.col(p)).alias("__a"))
     y = b.select(*keys, F.when(finite(F.col(p)), F.col(p)).alias("__b"))
     d = F.abs(F.col("__a") - F.col("__b"))
-    unit = x.join(y, list(keys)).groupBy(*by).agg(
+    unit = x.join(y, list(keys), "full").groupBy(*by).agg(
         F.count_if(F.col("__a").isNull() != F.col("__b").isNull()).alias("__odd"),
         F.avg(d).alias("mean"),
         F.sqrt(F.avg(d * d)).alias("rmse"),
@@ -158,6 +158,28 @@ def repeat_report(a: DataFrame, b: DataFrame, keys: Sequence[str], by: Sequence[
     return rows.select(*by, "metric", "value", "threshold", status.alias("status"))
 
 
+def metric_deltas(a: DataFrame, b: DataFrame, keys: Sequence[str], thresholds: Mapping[str, float]) -> DataFrame:
+    """Scores of two runs per unit: ``(*keys, metric, run_a, run_b, delta,
+    threshold, status)``, one row for each metric of ``thresholds``.
+
+    Undefined in both runs is ``UNKNOWN_SYMMETRIC``, in one of them
+    ``FAIL_ASYMMETRIC_DEFINEDNESS``, as is a unit that one run lacks."""
+
+    def long(scores: DataFrame, name: str) -> DataFrame:
+        cells = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(name), F.lit(float(t)).alias("threshold")) for m, t in thresholds.items()]
+        return scores.select(*keys, F.explode(F.array(*cells)).alias("x")).select(*keys, "x.*")
+
+    both = long(a, "run_a").join(long(b, "run_b"), [*keys, "metric", "threshold"], "full")
+    delta = F.abs(F.col("run_a") - F.col("run_b"))
+    status = (
+        F.when(F.col("run_a").isNull() & F.col("run_b").isNull(), "UNKNOWN_SYMMETRIC")
+        .when(delta.isNull(), "FAIL_ASYMMETRIC_DEFINEDNESS")
+        .when(delta <= F.col("threshold"), "PASS")
+        .otherwise("FAIL_THRESHOLD")
+    )
+    return both.select(*keys, "metric", "run_a", "run_b", delta.alias("delta"), "threshold", status.alias("status"))
+
+
 def roster_faults(units: DataFrame, roster: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Units missing from or foreign to the roster: ``(*keys, fault)``; null
     parts of a key equal each other."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import time
 import uuid
 from typing import Any
 
@@ -46,6 +47,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Hours after which the tables of a run that did not end are swept.
+KEPT_HOURS = 72
+_swept: set[str] = set()
+
+
+def sweep(spark: SparkSession, hours: float = KEPT_HOURS) -> int:
+    """Remove the run folders in the shared folder that are older; how many.
+
+    A run removes its own at its end; those of a driver that was killed stay
+    until a later run sweeps them."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/pairaudit")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    before = (time.time() - hours * 3600) * 1000
+    old = [s.getPath() for s in fs.listStatus(root) if s.getModificationTime() < before]
+    return sum(bool(fs.delete(p, True)) for p in old)
+
+
 class Materialized:
     """Tables written to the shared folder to cut lineage.
 
@@ -57,6 +78,10 @@ class Materialized:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        if (shared := checkpoint_dir(spark)) not in _swept:
+            _swept.add(shared)
+            with contextlib.suppress(Exception):  # another run may sweep too
+                sweep(spark)
         self.root = f"{checkpoint_dir(spark)}/pairaudit/{label}-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self._delete, self.root)  # results are lazy, so not before

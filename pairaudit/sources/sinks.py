@@ -91,16 +91,19 @@ def write_bytes(path: str, content: bytes) -> None:
         raise
 
 
-def claim(path: str, owner: str) -> Path:
-    """A new directory for ``owner``; one of the same owner may be resumed."""
+def claim(path: str, owner: str, kind: str = "output", binding: dict[str, Any] | None = None) -> Path:
+    """A new directory for ``owner``; one of the same owner, kind and binding
+    (the hashes of its inputs, say) may be resumed, and only if it holds
+    nothing but regular files of its own."""
     target = Path(path)
-    mark = target / "owner.json"
+    mark, wanted = target / "owner.json", {"owner": owner, "kind": kind, "binding": binding or {}}
     if target.exists():
-        if mark.exists() and json.loads(mark.read_text()).get("owner") == owner:
-            return target
-        raise OutputExists(path)
+        same = mark.exists() and json.loads(mark.read_text()) == json.loads(json_text(wanted))
+        if not same or any(p.is_symlink() for p in target.rglob("*")):
+            raise OutputExists(path)
+        return target
     target.mkdir(parents=True)
-    write_json(str(mark), {"owner": owner})
+    write_json(str(mark), wanted)
     return target
 
 

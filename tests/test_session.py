@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import os
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 REPO = str(Path(__file__).resolve().parent.parent)
@@ -32,3 +34,16 @@ def test_importing_needs_no_session():
     code = "import sys; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
     run = subprocess.run([sys.executable, "-c", code, REPO], capture_output=True, text=True, timeout=120)
     assert run.returncode == 0, run.stderr[-2000:]
+
+
+def test_old_run_folders_are_swept(spark, tmp_path, monkeypatch):
+    from pairaudit import session
+
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _: f"file://{tmp_path}")
+    for name, age in (("old-1", 100), ("new-1", 1)):
+        folder = tmp_path / "pairaudit" / name
+        folder.mkdir(parents=True)
+        (folder / "part").write_text("x")
+        os.utime(folder, (time.time() - age * 3600,) * 2)
+    assert session.sweep(spark) == 1
+    assert [p.name for p in (tmp_path / "pairaudit").iterdir()] == ["new-1"]

@@ -138,6 +138,11 @@ def test_json_and_claims(tmp_path):
     sinks.claim(str(tmp_path / "out"), "me")
     with pytest.raises(sinks.OutputExists):
         sinks.claim(str(tmp_path / "out"), "you")
+    with pytest.raises(sinks.OutputExists):
+        sinks.claim(str(tmp_path / "out"), "me", binding={"input": "00"})
+    (tmp_path / "out" / "link").symlink_to(tmp_path)
+    with pytest.raises(sinks.OutputExists):
+        sinks.claim(str(tmp_path / "out"), "me")
 
 
 def test_text_functions(spark):
