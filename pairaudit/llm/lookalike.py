@@ -38,7 +38,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import cache
 
 import pandas as pd
@@ -169,16 +169,35 @@ class Confusables(dict):
         super().__init__(table)
         composed = [c for c in letters if unicodedata.normalize("NFD", c)[0] in table]
         self.letters = frozenset(table) | frozenset(composed)
-        some, marks = f"[{re.escape(''.join(sorted(self.letters)))}]", "[\u0300-\u036f]*"
-        self.touching = re.compile(f"[A-Za-z]{marks}{some}|{some}{marks}[A-Za-z]") if table else None
 
     def __reduce__(self) -> tuple:
         return Confusables, (dict(self), tuple(self.letters - frozenset(self)))
 
-    def folded(self, text: str) -> str:
-        if not self or self.letters.isdisjoint(text) or not self.touching.search(text):
-            return text
-        return _WORD.sub(self._fold, text)
+    def folded(self, text: str, present: Iterable[str]) -> str:
+        """``text`` with its words of letters ``present`` folded; only those
+        that stand beside a Latin letter are looked at."""
+        spots: list[int] = []
+        for c in present:
+            i = text.find(c)
+            while i >= 0:
+                if _beside_latin(text, i):
+                    spots.append(i)
+                i = text.find(c, i + 1)
+        if len(spots) > MANY_SPOTS:
+            return _WORD.sub(self._fold, text)
+        parts, done = [], 0
+        for i in sorted(spots):
+            if i < done:
+                continue
+            begin, end = i, i + 1
+            while begin > done and _in_word(text[begin - 1]):
+                begin -= 1
+            while end < len(text) and _in_word(text[end]):
+                end += 1
+            parts += [text[done:begin], _WORD.sub(self._fold, text[begin:end])]
+            done = end
+        parts.append(text[done:])
+        return "".join(parts)
 
     def _fold(self, found: re.Match) -> str:
         word = found.group()
@@ -190,6 +209,24 @@ class Confusables(dict):
 #: Words: letters and their marks.
 _WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
 _LATIN = re.compile("[A-Za-z]")
+#: Letters beside Latin ones from which all words are gone through instead.
+MANY_SPOTS = 40
+
+
+def _in_word(c: str) -> bool:
+    return (c.isalnum() and not c.isdecimal()) or "\u0300" <= c <= "\u036f"
+
+
+def _beside_latin(text: str, i: int) -> bool:
+    for step in (1, -1):
+        j = i + step
+        while 0 <= j < len(text) and "\u0300" <= text[j] <= "\u036f":
+            j += step
+        if 0 <= j < len(text) and "A" <= text[j] <= "z" and text[j].isalpha():
+            return True
+    return False
+
+
 NONE = Confusables({})
 
 
@@ -229,7 +266,7 @@ def _segments(text: str, unstable: set[str]) -> Iterator[tuple[int, int]]:
         done = end
 
 
-def _spliced(text: str, unstable: set[str], form) -> str:  # noqa: ANN001
+def _spliced(text: str, unstable: set[str], form: Callable[[str], str]) -> str:
     parts: list[str] = []
     done = 0
     for begin, end in _segments(text, unstable):
@@ -241,27 +278,34 @@ def _spliced(text: str, unstable: set[str], form) -> str:  # noqa: ANN001
     return "".join(parts)
 
 
-def _unstable(text: str) -> set[str]:
-    doubtful = set(text) - _KNOWN_STABLE
+def _unstable(characters: set[str]) -> set[str]:
+    doubtful = characters - _KNOWN_STABLE
     unstable = {c for c in doubtful if not _stable(c)}
     _KNOWN_STABLE.update(doubtful - unstable)
     return unstable
 
 
+def _normal(text: str, wide: Confusables, form: Callable[[str], str]) -> str:
+    characters = set(text)
+    if unstable := _unstable(characters):
+        text = _spliced(text, unstable, form)
+        characters = set(text) if wide else characters
+    present = wide.letters & characters
+    return wide.folded(text, present) if present else text
+
+
 def canonical(text: str, wide: Confusables = NONE) -> str:
     """``text`` in the one form under which texts that look alike are equal.
 
     ``wide`` are the ``confusables``."""
-    unstable = _unstable(text)
-    return wide.folded(_spliced(text, unstable, _form) if unstable else text)
+    return _normal(text, wide, _form)
 
 
 def readable(text: str, wide: Confusables = NONE) -> str:
     """``text`` to train on: one form, with words of other scripts kept.
 
     ``wide`` are the ``confusables`` with ``LOOKALIKE``."""
-    unstable = _unstable(text)
-    return wide.folded(_spliced(text, unstable, _readable_form) if unstable else text)
+    return _normal(text, wide, _readable_form)
 
 
 def with_lookalikes(wide: Confusables) -> Confusables:

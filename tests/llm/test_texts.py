@@ -109,6 +109,12 @@ def test_the_key_sees_no_difference_in_the_readable_text(wide, text):
     assert canonical(lookalike.readable(text, lookalike.with_lookalikes(wide)), wide) == canonical(text, wide)
 
 
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(st.sampled_from("abZ αγτгьтρ́ά1²_-\n"), max_size=30))
+def test_spots_and_words_fold_alike(wide, text):
+    assert wide.folded(text, wide.letters & set(text)) == lookalike._WORD.sub(wide._fold, text)
+
+
 def test_many_copies_of_two_spellings(spark):
     df = documents(spark, [(i, "café" if i % 2 else "cafe\u0301") for i in range(60)])
     assert lookalike.lookalike_pairs(df, "doc_id", "text").count() == 30 * 30
