@@ -6,8 +6,9 @@ sorted, the other is found in it by binary search, and each field is compared
 under a vectorised, null-aware mask.  The masked cells come out, one row each.
 
 The bucket count follows the row count, so a bucket's two tables stay within a
-few tens of megabytes at any size, and the partitions follow the buckets, so a
-task reads a few of them.  Each copy is shuffled once.  Buckets that hold far
+few tens of megabytes at any size.  Partitions are named by bucket, not hashed,
+so a task reads one bucket (some, beyond ``MOST_TASKS`` of them, one after the
+other).  Each copy is shuffled once.  Buckets that hold far
 more rows than their share, because a key is repeated very often, are found by
 a count first; their rows are reduced to the latest of each key in the tasks
 that read them, so a key that holds a third of all rows arrives as one row.
@@ -41,9 +42,9 @@ from pyspark.sql import types as T
 
 from pairaudit.session import Materialized
 
-#: Buckets that a task reads, and tasks at most; rows in excess of which a
-#: bucket is reduced before it is sent, as multiples of its share.
-BUCKETS_A_TASK, MOST_TASKS, CROWDED = 3, 100_000, 3
+#: Tasks at most; rows in excess of which a bucket is reduced before it is
+#: sent, as multiples of its share.
+MOST_TASKS, CROWDED = 100_000, 3
 
 
 @dataclass(frozen=True)
@@ -149,7 +150,7 @@ def diff_copies(
     if rows is None:
         rows = max(left.count(), right.count())
     n_buckets = max(1, -(-rows // rows_per_bucket))
-    n_parts = min(max(1, n_buckets // BUCKETS_A_TASK), MOST_TASKS)
+    n_parts = min(n_buckets, MOST_TASKS)
     by, named = [f"__k{i}" for i in range(len(keys))], [f"__f{i}" for i in range(len(fields))]
 
     def chosen(df: DataFrame) -> DataFrame:
@@ -174,7 +175,7 @@ def diff_copies(
             reduced = rows.join(hot, "__bucket", "left_semi").groupBy(*by, "__bucket").agg(latest, F.max("__order").alias("__order"))
             rest = rows.join(hot, "__bucket", "left_anti")
             rows = rest.unionByName(reduced.select(*by, "one.*", "__order", "__bucket"))
-        return rows.repartition(n_parts, "__bucket")
+        return rows.withColumn("__part", F.col("__bucket") % n_parts).repartitionById(n_parts, F.col("__part"))
 
     schema = T.StructType(
         [T.StructField(k, left.schema[k].dataType) for k in keys] + [T.StructField("difference", T.StringType())]
@@ -215,4 +216,4 @@ def diff_copies(
             parts.append(empty.append_column("difference", pa.array([], pa.string())))
         return pa.concat_tables(parts).rename_columns([*keys, "difference"])
 
-    return prepared(left).groupBy("__bucket").cogroup(prepared(right).groupBy("__bucket")).applyInArrow(compare, schema)
+    return prepared(left).groupBy("__part", "__bucket").cogroup(prepared(right).groupBy("__part", "__bucket")).applyInArrow(compare, schema)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 
+from pairaudit.operators import copy_diff
 from pairaudit.operators.copy_diff import Field, diff_copies, ulp_distance
 
 SCHEMA = "k string, i bigint, f bigint, h string, y double, loaded_at timestamp, difference string, extra int"
@@ -88,3 +89,10 @@ def test_keys_repeated_very_often(spark):
     assert diff(spark, a, b, rows_per_bucket=20) == want
     assert diff(spark, a, b) == want
     assert diff(spark, b, a, rows_per_bucket=20) == [("hot", 1, "f"), ("p", 0, "missing_in_a")]
+
+
+def test_more_buckets_than_tasks(spark, monkeypatch):
+    monkeypatch.setattr(copy_diff, "MOST_TASKS", 3)
+    a = [("p", i, i, "ab", 1.0, 0) for i in range(300)]
+    b = [("p", i, i + (i == 7), "ab", 1.0, 0) for i in range(1, 300)]
+    assert diff(spark, a, b, rows_per_bucket=10) == [("p", 0, "missing_in_b"), ("p", 7, "f")]
