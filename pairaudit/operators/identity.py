@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pairaudit.operators.splits import per_block
 
+# The published classes of what a test row shares with train.
 CLASSES = ("same_pair_seen", "both_seen_pair_unseen", "host_only_seen", "guest_only_seen", "neither_seen")
 
 

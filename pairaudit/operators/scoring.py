@@ -11,7 +11,7 @@ reduced in the tasks first and several grouping levels can share one pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from pairaudit.functions.buckets import with_bucket
 from pairaudit.functions.numeric import as_float32, finite
+from pairaudit.session import Materialized
 
 DEFINED = "DEFINED"
 EMPTY = "UNDEFINED_EMPTY"
@@ -157,6 +158,27 @@ def guarded_scores(
     return _finish(moments, by, contract)
 
 
+def contract_scores(panel: DataFrame, by: Sequence[str], contracts: Mapping[str, Contract], store: Materialized, y: str = "y_true", p: str = "y_pred") -> DataFrame:
+    """``guarded_scores`` under several contracts, with their name in
+    ``contract``; all must check for finite values.
+
+    The panel is read once: contracts differ in precision and in guards, so
+    moments are taken for each precision and the guards applied to them."""
+    kinds = sorted({(c.float32_target, c.float32_prediction) for c in contracts.values()})
+    single = lambda name, i: F.when(F.array(*[F.lit(k[i]) for k in kinds])[F.col("__kind")], as_float32(F.col(name).cast("double"))).otherwise(F.col(name).cast("double"))
+    rows = panel.withColumn("__kind", F.explode(F.array(*map(F.lit, range(len(kinds))))))
+    rows = rows.withColumns({"__y": single(y, 0), "__p": single(p, 1)})
+    rows = rows.withColumn("__ok", finite(F.col("__y")) & finite(F.col("__p")))
+    kept = F.when(F.col("__ok"), F.col("__y")), F.when(F.col("__ok"), F.col("__p"))
+    moments = store.write(rows.groupBy(*by, "__kind").agg(*_moments(*kept)))
+    out = None
+    for name, contract in contracts.items():
+        own = moments.filter(F.col("__kind") == kinds.index((contract.float32_target, contract.float32_prediction)))
+        part = _finish(own, by, contract).withColumn("contract", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def block_and_pooled_scores(
     panel: DataFrame,
     pooled_by: Sequence[str],

@@ -140,7 +140,7 @@ def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-seen name, dominant family and top families of each structure."""
+    """First-seen name and family of each structure, and all its families."""
     r = records(spark, sf_dir).filter("host_smiles IS NOT NULL")
     first = r.groupBy("host_smiles").agg(
         F.min_by("host_name", F.when(F.col("host_name").isNotNull(), F.col("row_index"))).alias("first_name"),
@@ -248,7 +248,7 @@ def reference_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks in natural order of their number, with the order verified."""
+    """Blocks with the number that is their natural order."""
     blocks = panel(spark, sf_dir).groupBy("split", "block_id").agg(F.count("*").alias("n"))
     return blocks.withColumn("number", text.numeric_suffix(F.col("block_id"))).withColumn("wide", F.col("n") > 100)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairaudit.operators import baselines, compare, curation, resample, scoring, verify
 from pairaudit.plans.common import FINITE_SQL, MEMBERS_SQL, NULLS, PANEL_SQL, finite_panel, members, panel, r6
+from pairaudit.session import Materialized
 from pairaudit.sources.catalog import table
 
 UNIT = ["split", "block_id", "model"]
@@ -29,12 +30,8 @@ def finite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unit set under each published contract."""
-    rows = finite_panel(spark, sf_dir)
-    out = None
-    for name, contract in scoring.CONTRACTS.items():
-        part = scoring.guarded_scores(rows, UNIT, contract=contract).select(*UNIT, F.lit(name).alias("contract"), "n", r6("r2").alias("r2"), "status")
-        out = part if out is None else out.unionByName(part)
-    return out
+    out = scoring.contract_scores(finite_panel(spark, sf_dir), UNIT, scoring.CONTRACTS, Materialized(spark, "contracts"))
+    return out.select(*UNIT, "contract", "n", r6("r2").alias("r2"), "status")
 
 
 def block_and_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,17 +215,16 @@ def target_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores without the rows whose pair also stands in train, next to the
-    scores of all rows and of the removed rows."""
+    """Scores without the rows whose guest also stands in a train row of the
+    block, next to the scores of all rows and of the removed rows."""
     rows = finite_panel(spark, sf_dir).filter("split = 'host_cold'")
     known = members(spark, sf_dir).filter("role = 'train' AND guest IS NOT NULL").select("block_id", F.col("guest").alias("guest_id")).distinct()
     keys = rows.join(known, ["block_id", "guest_id"], "left_semi").select("block_id", "row_index").distinct()
-    parts = {"all": rows, "removed": rows.join(keys, ["block_id", "row_index"], "left_semi"), "retained": rows.join(keys, ["block_id", "row_index"], "left_anti")}
-    out = None
-    for name, part in parts.items():
-        one = scoring.guarded_scores(part, ["block_id", "model"]).select("block_id", "model", F.lit(name).alias("scenario"), "n", r6("r2").alias("r2"), "status")
-        out = one if out is None else out.unionByName(one)
-    return out
+    # each row counts in two scenarios, so the panel is read once
+    flagged = rows.join(keys.withColumn("seen", F.lit(True)), ["block_id", "row_index"], "left")
+    own = F.when(F.col("seen"), "removed").otherwise("retained")
+    scenarios = flagged.withColumn("scenario", F.explode(F.array(F.lit("all"), own)))
+    return scoring.guarded_scores(scenarios, ["block_id", "model", "scenario"]).select("block_id", "model", "scenario", "n", r6("r2").alias("r2"), "status")
 
 
 QUERIES = {
@@ -242,23 +238,31 @@ QUERIES = {
 }
 
 
+_SINGLE_Y, _SINGLE_P = ("CAST(CAST({0} AS FLOAT) AS DOUBLE)".format(c) for c in ("y_true", "y_pred"))
+#: The published contracts written out apart from the operator's: least rows,
+#: when predictions are too flat, target and prediction as they are scored.
+_CONTRACT_SQL = {
+    "full": (2, "sdp <= 1e-9", "y_true", "y_pred"),
+    "job": (1, "sdp <= 1e-9", _SINGLE_Y, _SINGLE_P),
+    "tree": (1, "sdp <= 1e-9", _SINGLE_Y, "y_pred"),
+    "standard": (1, "false", _SINGLE_Y, "y_pred"),
+    "source_only": (2, "sdp <= 1e-9 AND model = 'source_only_RF'", "y_true", "y_pred"),
+    "comparator": (2, "false", "y_true", "y_pred"),
+    "diagnostic": (1, "sdp < 1e-9", "y_true", "y_pred"),
+}
+
+
 def _score_sql(source: str, keys: str, where: str = "true", contract: str = "full") -> str:
-    c = scoring.CONTRACTS[contract]
-    y = "CAST(CAST(y_true AS FLOAT) AS DOUBLE)" if c.float32_target else "y_true"
-    p = "CAST(CAST(y_pred AS FLOAT) AS DOUBLE)" if c.float32_prediction else "y_pred"
-    flat = "sdp < 1e-9" if c.strict else "sdp <= 1e-9"
-    if not c.guard_prediction:
-        flat = "false"
-    elif c.guarded_models is not None:
-        flat += f" AND model IN ({', '.join(repr(m) for m in c.guarded_models)})"
+    min_rows, flat, y, p = _CONTRACT_SQL[contract]
     return f"""
 SELECT {keys}, n, status, CASE WHEN status = 'DEFINED' THEN 1 - sse / sst END AS raw,
   CASE WHEN bad = 0 THEN mae END AS mae, CASE WHEN bad = 0 THEN sqrt(sse / n) END AS rmse,
   CASE WHEN bad = 0 THEN sst END AS sst, CASE WHEN bad = 0 THEN sse END AS sse,
   CASE WHEN bad = 0 THEN my - mp END AS offset_, CASE WHEN bad = 0 AND vp > 0 THEN cov / vp END AS slope,
   CASE WHEN bad = 0 AND vp * vy > 0 THEN cov / sqrt(vp * vy) END AS pearson
-FROM (SELECT *, CASE WHEN n < {c.min_rows} THEN 'UNDEFINED_TOO_FEW_ROWS' WHEN bad > 0 THEN 'UNDEFINED_NONFINITE_INPUT'
+FROM (SELECT *, CASE WHEN n < {min_rows} THEN 'UNDEFINED_TOO_FEW_ROWS' WHEN bad > 0 THEN 'UNDEFINED_NONFINITE_INPUT'
         WHEN lo = hi THEN 'UNDEFINED_CONSTANT_TARGET' WHEN {flat} THEN 'UNDEFINED_NEAR_CONSTANT_PREDICTION'
+        WHEN NOT coalesce(isfinite(1 - sse / CASE WHEN sst > 0 THEN sst END), false) THEN 'UNDEFINED_NONFINITE_SCORE'
         ELSE 'DEFINED' END AS status
   FROM (SELECT {keys}, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS bad, min(y) AS lo, max(y) AS hi,
           stddev_pop(p) AS sdp, var_pop(y) * count(y) AS sst, sum((y - p) * (y - p)) AS sse, avg(abs(y - p)) AS mae,
@@ -358,7 +362,7 @@ ORACLE = {
     + FINITE_SQL
     + " UNION ALL ".join(
         f" SELECT split, block_id, model, '{c}' AS contract, n, round(raw, 6) AS r2, status FROM ({_score_sql('finite_panel', 'split, block_id, model', contract=c)})"
-        for c in scoring.CONTRACTS
+        for c in _CONTRACT_SQL
     ),
     "block_and_pooled": "WITH "
     + FINITE_SQL

@@ -81,10 +81,13 @@ def test_npz(spark, tmp_path):
     p = tmp_path / "m.npz"
     np.savez(p, row_index=np.arange(250), x=np.arange(500.0).reshape(250, 2))
     spark.dataSource.register(files.NpzSource)
-    reader = spark.read.format("npz").schema("row_index bigint, x array<double>").option("rowsPerPartition", 100)
+    reader = spark.read.format("npz").schema("row_index bigint, x array<double>").option("rowsPerBatch", 100)
     df = reader.load(str(p))
-    assert df.rdd.getNumPartitions() == 3
+    assert df.rdd.getNumPartitions() == 1  # decompressed once, 100 rows at a time
     assert df.agg(F.sum("row_index"), F.sum(F.col("x")[1])).first()[:] == (31125, sum(range(1, 500, 2)))
+    np.savez_compressed(p, row_index=np.arange(7), x=np.ones((6, 2)))
+    with pytest.raises(Exception, match="unequal length"):
+        reader.load(str(p)).collect()
 
 
 def test_folds_jobs_and_hashes(spark, tmp_path):
