@@ -227,7 +227,7 @@ def test_alike_keys_within_the_radius(spark):
     texts = {i: t if i < 12 else t[:k] + rng.choice("NOS") + t[k + 1 :] for i, (t, k) in enumerate([(b, rng.randrange(100)) for b in base * 3])}
     rows = [(0, "test" if i < 12 else "train", i, str(i), "7", None, None) for i in texts]
     ents = [("canonical", "l1", "host", str(i), t, False) for i, t in texts.items()] + [("canonical", "l1", "guest", "7", "G", False)]
-    radius = 11
+    radius = 23
     got = {tuple(r)[1:3] for r in cross_overlap.cross_split_pairs(folds(spark, rows), entries(spark, ents), radius=radius, least_similarity=0.8).collect()}
     bits = cross_overlap.fingerprints(list(texts.values()), ["G"] * len(texts))
     near = {(a, b) for a in range(12) for b in range(12, 36) if (bits[a] ^ bits[b]).sum() <= radius and a == b % 12}
