@@ -163,7 +163,7 @@ def confusables(spark: SparkSession) -> Confusables:
 
 class Confusables(dict):
     """Letters and the Latin letters they are folded to in words that hold a
-    Latin letter; such a word has one of them beside a Latin one somewhere."""
+    Latin letter."""
 
     def __init__(self, table: Mapping[str, str], letters: Sequence[str] = ()):
         super().__init__(table)
@@ -174,17 +174,14 @@ class Confusables(dict):
         return Confusables, (dict(self), tuple(self.letters - frozenset(self)))
 
     def folded(self, text: str, present: Iterable[str]) -> str:
-        """``text`` with its words of letters ``present`` folded; only those
-        that stand beside a Latin letter are looked at."""
+        """``text`` with its words folded; only those with a letter of
+        ``present`` are looked at."""
         spots: list[int] = []
         for c in present:
             i = text.find(c)
             while i >= 0:
-                if _beside_latin(text, i):
-                    spots.append(i)
+                spots.append(i)
                 i = text.find(c, i + 1)
-        if len(spots) > MANY_SPOTS:
-            return _WORD.sub(self._fold, text)
         parts, done = [], 0
         for i in sorted(spots):
             if i < done:
@@ -194,37 +191,24 @@ class Confusables(dict):
                 begin -= 1
             while end < len(text) and _in_word(text[end]):
                 end += 1
-            parts += [text[done:begin], _WORD.sub(self._fold, text[begin:end])]
+            parts += [text[done:begin], self.word(text[begin:end])]
             done = end
         parts.append(text[done:])
         return "".join(parts)
 
-    def _fold(self, found: re.Match) -> str:
-        word = found.group()
-        if word.isascii() or not _LATIN.search(apart := unicodedata.normalize("NFD", word)):
+    def word(self, word: str) -> str:
+        apart = unicodedata.normalize("NFD", word)
+        if not _LATIN.search(apart):
             return word
         return unicodedata.normalize("NFC", "".join(self.get(c, c) for c in apart))
 
 
-#: Words: letters and their marks.
-_WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
 _LATIN = re.compile("[A-Za-z]")
-#: Letters beside Latin ones from which all words are gone through instead.
-MANY_SPOTS = 40
 
 
 def _in_word(c: str) -> bool:
-    return (c.isalnum() and not c.isdecimal()) or "\u0300" <= c <= "\u036f"
-
-
-def _beside_latin(text: str, i: int) -> bool:
-    for step in (1, -1):
-        j = i + step
-        while 0 <= j < len(text) and "\u0300" <= text[j] <= "\u036f":
-            j += step
-        if 0 <= j < len(text) and "A" <= text[j] <= "z" and text[j].isalpha():
-            return True
-    return False
+    """Words are letters and their marks."""
+    return c.isalpha() or "\u0300" <= c <= "\u036f"
 
 
 NONE = Confusables({})

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import unicodedata
@@ -82,7 +83,7 @@ def test_confusables_are_letters_of_the_same_case(wide):
         assert c.isupper() <= x.isupper() and (not c.islower() or x.islower())
 
 
-ODD = [("𝐛old", "bold"), ("ρad", "pad"), ("αlpha", "alpha"), ("Ꮪet", "Set"), ("ɑbc", "abc"), ("ɡo", "go"), ("cօpy", "copy"), ("ꓐig", "Big"), ("κit", "κit"), ("сору", "copy"), ("ρ́ad", "ṕad"), ("άd", "ád")]
+ODD = [("𝐛old", "bold"), ("ρad", "pad"), ("αlpha", "alpha"), ("Ꮪet", "Set"), ("ɑbc", "abc"), ("ɡo", "go"), ("cօpy", "copy"), ("ꓐig", "Big"), ("κit", "κit"), ("сору", "copy"), ("ρ́ad", "ṕad"), ("άd", "ád"), ("Zβα", "Zβa"), ("éα", "éa")]
 
 
 @pytest.mark.parametrize(("odd", "plain"), ODD)
@@ -110,9 +111,10 @@ def test_the_key_sees_no_difference_in_the_readable_text(wide, text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(text=st.text(st.sampled_from("abZ αγτгьтρ́ά1²_-\n"), max_size=30))
-def test_spots_and_words_fold_alike(wide, text):
-    assert wide.folded(text, wide.letters & set(text)) == lookalike._WORD.sub(wide._fold, text)
+@given(text=st.text(st.sampled_from("abZé αγβτгьтρ́ά1²_-\n"), max_size=30))
+def test_words_fold_alike_wherever_they_stand(wide, text):
+    runs = ["".join(run) for _, run in itertools.groupby(text, key=lookalike._in_word)]
+    assert wide.folded(text, wide.letters & set(text)) == "".join(wide.word(r) if wide.letters & set(r) else r for r in runs)
 
 
 def test_many_copies_of_two_spellings(spark):
@@ -392,7 +394,8 @@ def test_tiers_make_the_plan():
                 below = max([t for t in tiers if t < w.tier], default=0)
                 assert below < w.items[0][0]  # its longest item was routed to this tier
         total = sum(s * n for s, n in TEXT_LENGTHS.items())
-        assert sum(p.n for p in plan) <= 1.03 * total / 2048 + 1
+        if all(2048 % t == 0 and t > 100 for t in tiers):  # windows of 1500 leave rests that nothing fills
+            assert sum(p.n for p in plan) <= 1.03 * total / 2048 + 1
 
 
 def test_reports_of_a_packing(spark):
