@@ -405,14 +405,16 @@ def test_reports_of_a_packing(spark):
     packed = packing.pack(df, "doc_id", F.col("size")).cache()
     faults = packing.packing_faults(packed, "doc_id").first().asDict()
     total = sum(s or 0 for s in sizes)
-    assert faults == {"n_items": 2003, "n_pieces": 2003 + 4, "n_tokens": total, "needlessly_cut": 0, "gaps": 0, "overfull": 0, "misplaced": 0}
+    pieces = sum(max(1, math.ceil((s or 0) / 2048)) for s in sizes)
+    assert faults == {"n_items": 2003, "n_pieces": pieces, "n_tokens": total, "needlessly_cut": 0, "gaps": 0, "overfull": 0, "misplaced": 0}
     tiers = {r.tier: r for r in packing.tier_report(packed).collect()}
     assert set(tiers) == {256, 512, 1024, 2048}
     assert sum(r.n_tokens for r in tiers.values()) == total
     assert sum(r.unused for r in tiers.values()) == 2048 * sum(r.n_containers for r in tiers.values()) - total
     assert sum(r.unused for r in tiers.values()) < 0.02 * total
     costs = [r.cost for r in packing.packing_report(packed).collect()]
-    assert max(costs) <= 1.1 * sum(costs) / len(costs)
+    # groups of eight containers, some of one fewer
+    assert max(costs) <= 8 / 7 * 1.05 * sum(costs) / len(costs)
 
 
 def test_token_count(spark):
