@@ -25,17 +25,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairaudit.functions.buckets import with_bucket
+from pairaudit.session import Materialized
 
 #: Cells of the grid at most, and bins of a feature at most.
 CELLS, MOST_BINS = 1 << 20, 64
+#: Rows of a table that is sent to all tasks, at most.
+SENT_ROWS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -132,30 +136,56 @@ def _tree(x: np.ndarray, w: np.ndarray, wy: np.ndarray, test: np.ndarray, bins:
     return done_x, done_t
 
 
-def target_encoded(members: DataFrame, by: Sequence[str], keys: dict[str, str], folds: int = 5, shrink: float = 5.0) -> tuple[DataFrame, DataFrame]:
+def _looked_up(rows: DataFrame, found: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with what a written table says of them.
+
+    Only a table of few rows is sent to all tasks.  Left to adaptive execution,
+    tables are sent that are small as written and many times that in the
+    driver's memory, several of them at once.
+    """
+    few = found.count() <= SENT_ROWS
+    return rows.join(found.hint("broadcast" if few else "merge"), list(on), how)
+
+
+def target_encoded(
+    members: DataFrame, by: Sequence[str], keys: dict[str, str], folds: int = 5, shrink: float = 5.0, store: Materialized | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Train and test rows with smoothed mean targets, ``keys`` from column to
     new column.
 
     Train rows are encoded by the other folds alone, their overall mean
     included; test rows by all train rows.  A key not seen takes that mean.
+
+    The encodings of a key, one per fold and one for test rows, are one row of
+    a table that is written, so rows are joined once a key.
     """
-    by = list(by)
-    known = members.filter("role = 'train' AND y IS NOT NULL").withColumn("__f", F.pmod(F.col("row_index") * F.lit(48271), F.lit(65537)) % F.lit(folds))
-    overall = known.groupBy(*by).agg(F.sum("y").alias("__s"), F.count("y").alias("__n"))
-    inside = known.groupBy(*by, "__f").agg(F.sum("y").alias("__sf"), F.count("y").alias("__nf"))
-    others = inside.join(overall, by).select(*by, "__f", ((F.col("__s") - F.col("__sf")) / F.nullif(F.col("__n") - F.col("__nf"), F.lit(0))).alias("__mu"))
-    train = known.join(others, [*by, "__f"])
-    test = members.filter("role = 'test'").join(overall.select(*by, (F.col("__s") / F.col("__n")).alias("__mu")), by, "left")
+    by, store = list(by), store or Materialized(members.sparkSession, "encoding")
+    fold = (F.pmod(F.col("row_index") * F.lit(48271), F.lit(65537)) % F.lit(folds)).cast("int")
+    known = members.filter("role = 'train' AND y IS NOT NULL").withColumn("__f", fold)
+    parts = range(folds)
+
+    def sums(p: str) -> list[Column]:
+        own = [F.when(F.col("__f") == i, F.col("y")) for i in parts]
+        return [c for i, y in enumerate(own) for c in (F.coalesce(F.sum(y), F.lit(0.0)).alias(f"{p}s{i}"), F.count(y).alias(f"{p}n{i}"))]
+
+    def total(name: str, but: int | None = None) -> Column:
+        return reduce(Column.__add__, [F.col(f"{name}{i}") for i in parts if i != but], F.lit(0))
+
+    smoothed = lambda s, n, mu: (s + F.lit(shrink) * mu) / (n + F.lit(shrink))
+    # means of the other folds, and of all
+    prior = [(total("__os", i) / F.nullif(total("__on", i), F.lit(0))).alias(f"__mu{i}") for i in parts]
+    overall = store.write(known.groupBy(*by).agg(*sums("__o")).select(*by, *prior, (total("__os") / total("__on")).alias("__mu")))
+    train = known
+    test = _looked_up(members.filter("role = 'test'"), overall.select(*by, "__mu"), by, "left")
     for key, name in keys.items():
         own = F.coalesce(F.col(key).cast("string"), F.lit("\0")).alias("__k")
-        counted = known.groupBy(*by, own, "__f").agg(F.sum("y").alias("__sf"), F.count("y").alias("__nf"))
-        total = counted.groupBy(*by, "__k").agg(F.sum("__sf").alias("__s"), F.sum("__nf").alias("__n"))
-        smoothed = lambda s, n: (s + F.lit(shrink) * F.col("__mu")) / (n + F.lit(shrink))
-        train = train.withColumn("__k", own).join(total, [*by, "__k"]).join(counted, [*by, "__k", "__f"])
-        train = train.withColumn(name, smoothed(F.col("__s") - F.col("__sf"), F.col("__n") - F.col("__nf"))).drop("__k", "__s", "__n", "__sf", "__nf")
-        test = test.withColumn("__k", own).join(total, [*by, "__k"], "left")
-        test = test.withColumn(name, smoothed(F.coalesce("__s", F.lit(0.0)), F.coalesce("__n", F.lit(0)))).drop("__k", "__s", "__n")
-    return train.drop("__f"), test
+        counted = known.groupBy(*by, own).agg(*sums("__"))
+        left_out = F.array(*[smoothed(total("__s", i), total("__n", i), F.col(f"__mu{i}")) for i in parts]).alias("__v")
+        of_key = store.write(_looked_up(counted, overall, by).select(*by, "__k", left_out, smoothed(total("__s"), total("__n"), F.col("__mu")).alias("__w")))
+        train = _looked_up(train.withColumn("__k", own), of_key, [*by, "__k"]).withColumn(name, F.get("__v", F.col("__f"))).drop("__k", "__v", "__w")
+        unseen = smoothed(F.lit(0.0), F.lit(0), F.col("__mu"))
+        test = _looked_up(test.withColumn("__k", own), of_key, [*by, "__k"], "left").withColumn(name, F.coalesce("__w", unseen)).drop("__k", "__v", "__w")
+    return train.drop("__f"), test.drop("__mu")
 
 
 def fit_blocks(members: DataFrame, features: Sequence[str], model: Forest | Boosted, name: str, block: str = "block_id", cells: int = CELLS) -> DataFrame:
@@ -166,17 +196,20 @@ def fit_blocks(members: DataFrame, features: Sequence[str], model: Forest | Boos
     encoded = [f"__e{i}" for i in range(len(features))]
     places = [f"__b{i}" for i in range(len(features))]
     kept = members.select(block, "row_index", "role", F.col("y").cast("double").alias("y"), *[F.col(f).alias(f"__c{i}") for i, f in enumerate(features)])
-    train, test = target_encoded(kept, [block], {f"__c{i}": e for i, e in enumerate(encoded)})
+    store = Materialized(members.sparkSession, "trees")
+    # each step is written, so that no plan holds the one before several times
+    train, test = target_encoded(kept, [block], {f"__c{i}": e for i, e in enumerate(encoded)}, store=store)
+    train = store.write(train.select(block, "row_index", "y", *encoded))
     quantiles = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = train.groupBy(block).agg(*[F.percentile_approx(e, quantiles, F.lit(10_000)).alias(f"__q{i}") for i, e in enumerate(encoded)])
+    edges = store.write(train.groupBy(block).agg(*[F.percentile_approx(e, quantiles, F.lit(10_000)).alias(f"__q{i}") for i, e in enumerate(encoded)]))
 
     def placed(rows: DataFrame) -> DataFrame:
-        rows = rows.join(edges, block, "left")
+        rows = _looked_up(rows, edges, [block], "left")
         for i, e in enumerate(encoded):
             rows = with_bucket(rows, F.col(e), F.coalesce(F.col(f"__q{i}"), F.array().cast("array<double>")), places[i], bins.bit_length())
         return rows.select(block, "row_index", "y", *places)
 
-    test = placed(test)
+    test = store.write(placed(test))
     known = placed(train).groupBy(block, *places).agg(F.count("*").alias("__n"), F.sum("y").alias("__s"))
     known = known.select(*[F.col(c).alias(c) for c in known.columns])
     asked = test.select(*[F.col(c).alias(c) for c in (block, *places)]).distinct()
@@ -192,5 +225,6 @@ def fit_blocks(members: DataFrame, features: Sequence[str], model: Forest | Boos
         x, n = a[places].to_numpy(np.int64), a["__n"].to_numpy(np.int64)
         return out.assign(y_pred=model.fit_predict(x, n, a["__s"].to_numpy(float), out[places].to_numpy(np.int64), bins))
 
-    predicted = known.groupBy(block).cogroup(asked.groupBy(block)).applyInPandas(fit, schema)
-    return test.join(predicted, [block, *places], "left").select(block, "row_index", F.lit(name).alias("model"), F.col("y").alias("y_true"), "y_pred")
+    predicted = store.write(known.groupBy(block).cogroup(asked.groupBy(block)).applyInPandas(fit, schema))
+    store.drop(train)
+    return _looked_up(test, predicted, [block, *places], "left").select(block, "row_index", F.lit(name).alias("model"), F.col("y").alias("y_true"), "y_pred")

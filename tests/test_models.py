@@ -219,6 +219,25 @@ def test_models_learn_each_block(spark):
     assert trees.fit_blocks(df.limit(0), ["host"], trees.Forest(), "m").count() == 0
 
 
+def test_large_encodings_are_not_sent_to_all(spark):
+    """Tables of as many rows as there are keys stay out of the driver's memory."""
+    key = F.col("id") % 40_000
+    df = spark.range(200_000).select(
+        (F.col("id") % 2).cast("int").alias("block_id"),
+        F.col("id").alias("row_index"),
+        F.when(F.col("id") < 40_000, "test").otherwise("train").alias("role"),
+        key.alias("host"),
+        (key % 7 + F.col("id") % 3).cast("double").alias("y"),
+    )
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, "4m")
+    try:
+        out = trees.fit_blocks(df, ["host"], trees.Forest(trees=2, depth=4), "m").agg(F.count("*"), F.count("y_pred")).first()
+    finally:
+        spark.conf.unset(limit)
+    assert tuple(out) == (40_000, 40_000)
+
+
 def test_survey_sizes():
     forest, boosted = trees.Forest(), trees.Boosted()
     assert (forest.trees, boosted.rounds, boosted.depth, boosted.rate, boosted.subsample) == (300, 600, 6, 0.05, 0.8)
