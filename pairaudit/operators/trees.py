@@ -7,7 +7,7 @@ grid has at most ``CELLS`` cells, because the bins per feature are chosen for
 that.  One task per block then fits the ensemble on its cells with histograms,
 and predicts the cells in which test rows fall; the rows look their cell up.
 Blocks are a column, all blocks are fitted side by side, and the driver sees
-nothing.
+no more than how many rows the tables have that rows are looked up in.
 
 Features are categories.  Each is replaced by its smoothed mean target, test
 rows by that of all train rows and train rows by that of the other folds, and
